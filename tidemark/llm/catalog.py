@@ -1,10 +1,14 @@
 """The queries of this package and their SQL."""
 
 from tidemark.llm.byte_repeats import op2_suffix_dedup
+from tidemark.llm.embeddings import op1_embedding_dedup
+from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.word_repeats import op8_substring_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
