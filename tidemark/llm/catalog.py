@@ -4,15 +4,18 @@ from tidemark.llm.byte_repeats import op2_suffix_dedup
 from tidemark.llm.embeddings import op1_embedding_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.templates import OP6_SQL, op6_chat_format
+from tidemark.llm.warc import OP3_SQL, op3_warc_index
 from tidemark.llm.word_repeats import op8_substring_dedup
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_warc_index": op3_warc_index,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_index": OP3_SQL,
     "op6_chat_format": OP6_SQL,
 }
