@@ -144,7 +144,7 @@ def _verify(size: int, percent: int):
 def _confirm(scratch: Scratch, texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links within groups; `members` has g, doc_id and comp."""
     n = partitions(texts.sparkSession)
-    rows = members.join(texts, "doc_id").select("g", "doc_id", "comp", "text")
+    rows = members.hint("merge").join(texts, "doc_id").select("g", "doc_id", "comp", "text")  # one plan at every size
     return scratch.save(rows.repartition(n, "g").sortWithinPartitions("g", "doc_id").mapInArrow(_verify(size, percent), "u bigint, v bigint"))
 
 
