@@ -3,6 +3,7 @@
 from tidemark.llm.byte_repeats import op2_suffix_dedup
 from tidemark.llm.embeddings import op1_embedding_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
+from tidemark.llm.mixing import op9_source_mixing
 from tidemark.llm.quality import op10_quality_resample
 from tidemark.llm.templates import OP6_SQL, op6_chat_format
 from tidemark.llm.warc import OP3_SQL, op3_warc_index
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_quality_resample": op10_quality_resample,
 }
 ORACLES: dict[str, str] = {
