@@ -57,8 +57,9 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes:
     narrow = scratch.save(rows.select("page_id", "digest", "bytes"))
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     marks = revisits(narrow, scratch)
-    key = [rows["page_id"].eqNullSafe(marks["page_id"]), rows["digest"] == marks["digest"]]
-    rows = rows.join(marks, key, "left").select(rows["*"], marks["refers_to"])
+    n = int(max(partitions(pages.sparkSession), total // run_bytes + 1))
+    both = F.xxhash64("page_id", "digest").alias("both")
+    rows = rows.select("*", both).repartition(n, "both").join(marks.select(both, "refers_to"), "both", "left")  # payloads move once
     uri = F.regexp_replace("url", r"[\s]+", "%20")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(GAP))
@@ -73,9 +74,8 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes:
         F.when(again, F.concat(F.lit(f"{EOL}WARC-Profile: {PROFILE}{EOL}WARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(""),
         F.lit(f"{EOL}Content-Type: application/http; msgtype=response{EOL}Content-Length: "), F.octet_length(block).cast("string"), F.lit(GAP), block,
     )
-    n = max(partitions(pages.sparkSession), total // run_bytes + 1)
     host = F.reverse(F.split(F.lower(F.regexp_extract("url", r"//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)), r"\."))
-    run = rows.withColumn("host", F.array_join(host, ",")).repartition(int(n), F.xxhash64("page_id", "digest")).sortWithinPartitions("host", F.lower("url"), "date", "page_id")
+    run = rows.withColumn("host", F.array_join(host, ",")).sortWithinPartitions("host", F.lower("url"), "date", "page_id")
     run.select(record.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").text(path)
 
 
