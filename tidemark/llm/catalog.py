@@ -1,7 +1,9 @@
 """The queries of this package and their SQL."""
 
 from tidemark.llm.byte_repeats import op2_suffix_dedup
+from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.embeddings import op1_embedding_dedup
+from tidemark.llm.lines import op7_line_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.mixing import op9_source_mixing
 from tidemark.llm.quality import op10_quality_resample
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc_index": op3_warc_index,
+    "op4_decontaminate": op4_decontaminate,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_resample": op10_quality_resample,
