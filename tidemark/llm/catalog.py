@@ -1,5 +1,6 @@
 """The queries of this package and their SQL."""
 
+import corpus_pipeline
 from tidemark.llm.byte_repeats import op2_suffix_dedup
 from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.embeddings import op1_embedding_dedup
@@ -12,6 +13,7 @@ from tidemark.llm.warc import OP3_SQL, op3_warc_index
 from tidemark.llm.word_repeats import op8_substring_dedup
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc_index": op3_warc_index,

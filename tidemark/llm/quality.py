@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as k
@@ -81,7 +81,7 @@ def log_ratio(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
 def _score(ratio: np.ndarray):
     def run(batches):
         for batch in batches:
-            raw, off = k.texts_of(batch.column(1))
+            raw, off = k.texts_of(batch.column(2))
             parts = [np.zeros((3, 0))]
             for lo, hi in k.chunks(off, CHUNK):
                 bucket, row = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
@@ -89,7 +89,7 @@ def _score(ratio: np.ndarray):
                 r = ratio[bucket]
                 parts.append(np.stack([np.bincount(row[~two], r[~two], hi - lo), np.bincount(row[two], r[two], hi - lo), np.bincount(row[~two], minlength=hi - lo)]))
             one, both, n = np.concatenate(parts, 1)
-            yield pa.record_batch([batch.column(0), pa.array(one), pa.array(both), pa.array(n)], names=["doc_id", "e1", "e2", "n"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(one), pa.array(both), pa.array(n)], names=["doc_id", "row_key", "e1", "e2", "n"])
 
     return run
 
@@ -123,8 +123,13 @@ def top_threshold(keys: DataFrame, wanted: int) -> tuple[float, int]:
     return lo, wanted - above
 
 
+def row_key() -> Column:
+    """What rows of one id and text share."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
+
 def resample(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """doc_id, weight, key and kept of each row of `docs`; `labels` has doc_id, quality and toxic.
+    """doc_id, row_key, weight, key and kept of each row of `docs`; `labels` has doc_id, quality and toxic.
 
     At most `labelled` labelled rows, those of least hash of their ids, fit the target and the cut; raw counts cover all
     documents. Null and empty texts weigh 0. Without good labels all documents stay. Rows of one id draw one noise, so
@@ -133,7 +138,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, te
     scratch = Scratch(spark, "quality")
     sample = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.min("quality") > 0).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) > 0).alias("toxic"))
     sample = scratch.save(sample.select("doc_id", (F.col("fine") & ~F.col("toxic")).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), "text")
     known = texts.join(F.broadcast(sample), "doc_id", "left")  # the sample has at most `labelled` rows
     counts = known.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "part int, range int, blob binary")
     raw, good, size = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 2 * BUCKETS // RANGES
@@ -141,7 +146,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, te
         x = k.load(bytes(r["blob"]))
         raw[r["range"] * size :][:size], good[r["range"] * size :][:size] = x["raw"], x["good"]
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    evidence = scratch.save(texts.mapInArrow(_score(log_ratio(raw, good).astype(np.float32)), "doc_id bigint, e1 double, e2 double, n double"))
+    evidence = scratch.save(texts.mapInArrow(_score(log_ratio(raw, good).astype(np.float32)), "doc_id bigint, row_key bigint, e1 double, e2 double, n double"))
     seen = evidence.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # at most `labelled` rows
     fine, scales, cut = seen["good"].to_numpy() if seen.num_rows else np.zeros(0, bool), [1.0, 1.0], -np.inf
     if fine.any():
@@ -149,7 +154,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, te
         scales = [abs(c) if np.isfinite(c := best_cut(x, fine)) and c else 1.0 for x in parts]
         cut = best_cut(sum(h * x / c for h, x, c in zip(SHARES, parts, scales, strict=True)), fine)
     terms = [F.col(f"e{i + 1}") / F.pow(F.col("n") + 20, F.lit(p)) * (h / c) for i, (p, h, c) in enumerate(zip(POWERS, SHARES, scales, strict=True))]
-    scored = evidence.select("doc_id", (terms[0] + terms[1]).alias("weight")).withColumn("key", F.col("weight") / temperature - F.log(-F.log(u)))
+    scored = evidence.select("doc_id", "row_key", (terms[0] + terms[1]).alias("weight")).withColumn("key", F.col("weight") / temperature - F.log(-F.log(u)))
     wanted = scored.where(F.col("weight") >= float(cut)).count()
     if not wanted:
         return scored.withColumn("kept", F.lit(False))
