@@ -7,6 +7,7 @@ from tidemark.llm.embeddings import op1_embedding_dedup
 from tidemark.llm.lines import op7_line_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.mixing import op9_source_mixing
+from tidemark.llm.oracles import OP1_SQL, OP2_SQL, OP5_SQL, OP8_SQL
 from tidemark.llm.quality import op10_quality_resample
 from tidemark.llm.templates import OP6_SQL, op6_chat_format
 from tidemark.llm.warc import OP3_SQL, op3_warc_index
@@ -26,6 +27,10 @@ QUERIES = {
     "op10_quality_resample": op10_quality_resample,
 }
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
     "op3_warc_index": OP3_SQL,
+    "op5_minhash_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
