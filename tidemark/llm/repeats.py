@@ -99,28 +99,27 @@ def _judge(rule: str, windows: bool, h, key, doc, pos, multi):
 
     Copy entries (pos -1) always go by the smallest (doc, key). Anchor entries only tell whether a hash repeats at
     all ("any") or in two ids ("smaller"); window entries whether it starts elsewhere, or in a smaller id."""
-    order = np.lexsort((pos, key, doc, h))
+    order = np.argsort(h)
     h, key, doc, pos, multi = h[order], key[order], doc[order], pos[order], multi[order]
     begin, run = _runs(h)
     if not len(begin):
         return order, np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
-    size = np.diff(np.append(begin, len(h)))
-    many = np.maximum.reduceat(multi.astype(np.uint8), begin).astype(bool)
-    low = doc[begin]
-    two_docs = doc[np.append(begin[1:], len(h)) - 1] != low
-    head = np.zeros(len(h), bool)
-    head[begin] = True
-    copies = pos == COPY
-    repeat = (many | (size >= 2)) if rule == "any" else (many | two_docs)
+    low = np.minimum.reduceat(doc, begin)
+    many = np.logical_or.reduceat(multi, begin)
+    if rule == "any":
+        repeat = many | (np.diff(np.append(begin, len(h))) >= 2)
+    else:
+        repeat = many | (np.maximum.reduceat(doc, begin) != low)
     if windows and rule == "smaller":
         marked, sent = doc > low[run], doc == low[run]
     else:
-        marked, sent = repeat[run], head.copy()
-    if rule == "any":
-        marked = np.where(copies, ~head, marked)
-    else:
-        marked = np.where(copies, doc > low[run], marked)
-        sent = np.where(copies, head, sent)
+        marked, sent = repeat[run], np.zeros(len(h), bool)
+        sent[begin] = True
+    if not windows:
+        copies, first = pos == COPY, doc == low[run]
+        chief = first & (key == np.minimum.reduceat(np.where(first, key, k.TOP), begin)[run])
+        marked = np.where(copies, ~chief if rule == "any" else ~first, marked)
+        sent = np.where(copies, chief, sent)
     return order, marked, sent, repeat[run]
 
 
@@ -135,8 +134,6 @@ def _local(spec: Spec, keys: list[int], windows: bool, h, key, doc, pos):
     else:
         multi = repeat
     yield from _flags(spec, keys, key[marked], pos[marked])
-    if spec.rule == "any":  # the stand-in of a repeated hash, if it is no copy, is flagged already
-        pass
     s = np.flatnonzero(sent)
     s = s[np.lexsort((pos[s], key[s]))]
     part = ((h[s] >> U(32)) % U(spec.parts)).astype(np.int64)
