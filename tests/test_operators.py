@@ -91,6 +91,9 @@ def test_gridding(spark):
     cells = grids.grid_points(p, "h", 100.0)
     assert {r["value"] for r in cells.collect()} == {11.0, 20.0} and grids.raster_stats(cells).first()["points"] == 3
     assert cells.first()["epsg"] == 32636
+    ring = grids.footprint(cells, 100.0).first()["ring"]
+    assert len(ring) == 5 and ring[0] == ring[4] and X.ring_area([(p["lon"], p["lat"]) for p in ring]) > 0
+    assert min(p["lon"] for p in ring) <= 34.5 <= max(p["lon"] for p in ring)
 
 
 def test_utm_round_trip(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import col, finite, utm_epsg, utm_forward, utm_inverse
+from tidemark.operators.joins import nearest_station
 
 #: Cells of a grid that is sent to all executors at most; larger grids are joined by shuffle.
 SMALL_CELLS = 2_000_000
@@ -133,3 +134,31 @@ def grid_points(points: DataFrame, value: str, step: float, *, lat="lat", lon="l
 
 def raster_stats(cells: DataFrame) -> DataFrame:
     return cells.agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count("value").alias("valid_cells"), F.sum("n_points").alias("points"), F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("median"))
+
+
+def corrector_grid(spark: SparkSession, axis: Axis, known: list[tuple]) -> DataFrame:
+    """The nearest station's corrector and sigma at each node of a lattice."""
+    at = nearest_station(lattice(spark, axis), known)
+    return at.select("iy", "ix", "lat", "lon", F.col("c_station_m").alias("value"), "sigma_m", "station")
+
+
+def sample_tiles(points: DataFrame, tiles: DataFrame, per_degree: int, out: str, *, lat="lat", lon="lon", most: float = 1e4) -> DataFrame:
+    """Pixel values from tiles of one degree: `tiles` has tile_lat, tile_lon, row (from the north), col and value, and may
+    be partitioned by the first two, so only tiles with points are read. Missing tiles and nodata give null."""
+    y, x = F.floor(col(lat)), F.floor(col(lon))
+    row = F.least(F.lit(per_degree - 1), F.floor((y + 1 - col(lat)) * per_degree)).cast("int")
+    column = F.least(F.lit(per_degree - 1), F.floor((col(lon) - x) * per_degree)).cast("int")
+    at = points.withColumns({"_ty": y.cast("int"), "_tx": x.cast("int"), "_row": row, "_col": column})
+    cells = tiles.select(F.col("tile_lat").alias("_ty"), F.col("tile_lon").alias("_tx"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.when(F.abs(finite("value")) <= most, finite("value")).alias(out))
+    return at.join(cells, ["_ty", "_tx", "_row", "_col"], "left").drop("_ty", "_tx", "_row", "_col")
+
+
+def footprint(cells: DataFrame, step: float) -> DataFrame:
+    """The closed ring of a raster's corners in degrees, counter-clockwise; `cells` as from grid_points()."""
+    b = cells.agg(F.first("x0").alias("x0"), F.first("y1").alias("y1"), F.first("epsg").alias("epsg"), (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    west, north, east, south = F.col("x0"), F.col("y1"), F.col("x0") + F.col("cols") * step, F.col("y1") - F.col("rows") * step
+    ring = []
+    for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south)):
+        a, o = utm_inverse(x, y, F.col("epsg"))
+        ring.append(F.struct(o.alias("lon"), a.alias("lat")))
+    return b.select("rows", "cols", F.array(*ring).alias("ring"))

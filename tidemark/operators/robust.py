@@ -165,3 +165,14 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def spread_by(df: DataFrame, keys: list[str], value: str, n: str, few: int = 5) -> DataFrame:
+    """Range of a value over the rows of each group with at least `few` counts; null with fewer than two such rows."""
+    ok = df.where(F.col(n) >= few).groupBy(*keys).agg(F.count(value).alias("_n"), (F.max(value) - F.min(value)).alias("_s"))
+    return ok.select(*keys, F.when(F.col("_n") > 1, F.col("_s")).alias("spread"))
+
+
+def fixed_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """A sample of `n` rows that does not depend on partitions, for plots."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)

@@ -556,3 +556,32 @@ SELECT station_id, arg_min(radius_km, abs(radius_km - 2) + CASE WHEN radius_km <
 def reported_radius(spark, sf):
     l = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("station_id"), ((F.col("s_suppkey") % 4 + 1) * F.lit(1.0)).alias("radius_km")).agg(F.count("*").alias("n"))
     return matchups.reported_radius(l, few=2)
+
+
+_SMALL = "SELECT iy, ix, 46.7::DOUBLE + iy * 0.05::DOUBLE AS lat, 33.35::DOUBLE + ix * 0.11::DOUBLE AS lon FROM generate_series(0, 19) a(iy) CROSS JOIN generate_series(0, 17) b(ix)"
+
+
+@query(f"""WITH d AS (SELECT g.*, n_name, station_id, {KM('lat', 'lon', 's_lat', 's_lon')} AS km FROM ({_SMALL}) g CROSS JOIN ({STATIONS}))
+SELECT iy::INT AS iy, ix::INT AS ix, round(station_id * 0.01::DOUBLE, 6) AS value, n_name AS station FROM d QUALIFY row_number() OVER (PARTITION BY iy, ix ORDER BY km, station_id) = 1""")
+def corrector_grid(spark, sf):
+    known = [(r["n_name"], r["s_lat"], r["s_lon"], r["station_id"] * 0.01, None) for r in sorted(stations(spark, sf).collect(), key=lambda r: r["station_id"])]  # a dimension table of 25 rows
+    return grids.corrector_grid(spark, grids.Axis(46.7, 33.35, 0.05, 0.11, 20, 18), known).select("iy", "ix", r6("value"), "station")
+
+
+_TILES = "SELECT y AS tile_lat, x AS tile_lon, r AS row, c AS col, CASE WHEN (r + c) % 7 <> 0 THEN y * 100.0::DOUBLE + x + r * 0.1::DOUBLE + c * 0.01::DOUBLE ELSE -99999.0 END AS value FROM generate_series(46, 47) a(y) CROSS JOIN generate_series(33, 34) b(x) CROSS JOIN generate_series(0, 9) d(r) CROSS JOIN generate_series(0, 9) e(c)"
+
+
+@query(f"""WITH t AS ({_TILES}), p AS (SELECT DISTINCT l_orderkey, lat, lon FROM (SELECT l_orderkey, l_linenumber, {GEO} FROM lineitem) WHERE l_linenumber = 3)
+SELECT l_orderkey, round(CASE WHEN abs(value) <= 10000 THEN value END, 6) AS dem FROM p LEFT JOIN t ON tile_lat = floor(lat) AND tile_lon = floor(lon) AND row = least(9, floor((floor(lat) + 1 - lat) * 10)) AND col = least(9, floor((lon - floor(lon)) * 10))""")
+def tile_sample(spark, sf):
+    n = spark.range(400).select((46 + (F.col("id") / 200).cast("int")).alias("tile_lat"), (33 + ((F.col("id") / 100).cast("int") % 2)).alias("tile_lon"), ((F.col("id") / 10).cast("int") % 10).alias("row"), (F.col("id") % 10).cast("int").alias("col"))
+    value = F.when((F.col("row") + F.col("col")) % 7 != 0, F.col("tile_lat") * F.lit(100.0) + F.col("tile_lon") + F.col("row") * F.lit(0.1) + F.col("col") * F.lit(0.01)).otherwise(F.lit(-99999.0))
+    p = items(spark, sf).where("l_linenumber = 3").select("l_orderkey", "lat", "lon").distinct()
+    return grids.sample_tiles(p, n.withColumn("value", value), 10, "dem").select("l_orderkey", r6("dem"))
+
+
+@query("""WITH g AS (SELECT s_nationkey, s_suppkey % 3 AS k, count(*) AS n, median(s_acctbal) AS m FROM supplier GROUP BY 1, 2)
+SELECT s_nationkey, round(CASE WHEN count(m) > 1 THEN max(m) - min(m) END, 6) AS spread FROM g WHERE n >= 2 GROUP BY 1""")
+def spread_by_station(spark, sf):
+    g = table(spark, sf, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 3).alias("k")).agg(F.count("*").alias("n"), F.median("s_acctbal").alias("m"))
+    return rounded(robust.spread_by(g, ["s_nationkey"], "m", "n", 2), "spread")
