@@ -58,6 +58,16 @@ def test_asof(spark):
     assert none[2] is None and none[5] is None and none[4] == 1.2
 
 
+@pytest.mark.parametrize("method, ends, gap", [("linear", "nearest", 30.0), ("nearest", "nearest", None), ("linear", "null", None)])
+def test_asof_by_spans(spark, method, ends, gap):
+    rng = np.random.default_rng(3)
+    at = lambda n: [(str(rng.choice(["a", "b", "c"])), int(x)) for x in rng.integers(0, 40 * 86400, n)]
+    obs = spark.createDataFrame([(k, t, float(t % 97)) for k, t in at(120)], "k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    probes = spark.createDataFrame([(i, *x) for i, x in enumerate(at(200) + [("none", 5)])], "i int, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    run = lambda span: sorted(map(tuple, joins.asof(probes, obs, key="k", value="v", method=method, ends=ends, max_gap_hours=gap, span_hours=span).select("i", "value", "interpolated", "gap_hours").collect()))
+    assert run(None) == run(36.0) == run(24.0 * 365)
+
+
 def test_radius_join_by_cells(spark, monkeypatch):
     p = spark.createDataFrame([(i, 47 + i * 0.013, 34 + i * 0.021) for i in range(100)], "id int, lat double, lon double")
     s = spark.createDataFrame([(i, 47 + i * 0.1, 34 + i * 0.2) for i in range(12)], "s int, s_lat double, s_lon double")

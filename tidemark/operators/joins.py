@@ -25,7 +25,7 @@ def lookup_first(left: DataFrame, right: DataFrame, keys: list[str], order: list
     return left.join(first_per_key(right, keys, order).select(*keys, *columns), keys, "left")
 
 
-def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts: str = "ts", value: str = "value", method: str = "linear", max_gap_hours: float | None = 24.0, ends: str = "nearest", prefix: str = "") -> DataFrame:
+def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts: str = "ts", value: str = "value", method: str = "linear", max_gap_hours: float | None = 24.0, ends: str = "nearest", prefix: str = "", span_hours: float | None = None) -> DataFrame:
     """Each probe with <prefix>value, <prefix>interpolated and <prefix>gap_hours from the series of its key.
 
     The nearest observation (the earlier on a tie) must lie within max_gap_hours, else the value is null and the gap
@@ -33,19 +33,30 @@ def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts:
     at or beyond the ends of the series (`ends` "null": nothing outside, no gap limit). Observations without value are
     passed over and repeated times keep their least value; keys without observations give null.
 
-    One union and one window by key; no inequality join."""
+    One union and one window by key; no inequality join. With span_hours the window goes by key and span of time, and each
+    span gets the observations before and after it from a table of spans, so a long series is dealt over many tasks."""
     obs = series.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), finite(value).alias("_v")).where("_v is not null and _t is not null")
     obs = obs.groupBy("_k", "_t").agg(F.min("_v").alias("_v"))
     side = probes.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.struct("*").alias("_row"))
     both = side.withColumn("_side", F.lit(1)).unionByName(obs.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     mark = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    w = Window.partitionBy("_k").orderBy("_t", "_side")
+    part = ["_k"]
+    if span_hours is not None:
+        both = both.withColumn("_span", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (span_hours * 3.6e9)))
+        part = ["_k", "_span"]
+    w = Window.partitionBy(*part).orderBy("_t", "_side")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("_k")
-    seen = both.withColumns({
-        "_b": F.last(mark, True).over(back), "_f": F.first(mark, True).over(ahead),
-        "_t0": F.min(F.when(F.col("_side") == 0, F.col("_t"))).over(whole), "_t1": F.max(F.when(F.col("_side") == 0, F.col("_t"))).over(whole),
-    }).where("_side = 1")
+    seen = both.withColumns({"_b": F.last(mark, True).over(back), "_f": F.first(mark, True).over(ahead)})
+    if span_hours is None:
+        whole, at_obs = Window.partitionBy("_k"), F.when(F.col("_side") == 0, F.col("_t"))
+        seen = seen.withColumns({"_t0": F.min(at_obs).over(whole), "_t1": F.max(at_obs).over(whole)}).where("_side = 1")
+    else:
+        spans = both.groupBy("_k", "_span").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
+        s = Window.partitionBy("_k").orderBy("_span")
+        before, after = s.rowsBetween(Window.unboundedPreceding, -1), s.rowsBetween(1, Window.unboundedFollowing)
+        spans = spans.select("_k", "_span", F.last("_hi", True).over(before).alias("_pb"), F.first("_lo", True).over(after).alias("_pf"), F.min("_lo").over(Window.partitionBy("_k")).alias("_first"), F.max("_hi").over(Window.partitionBy("_k")).alias("_last"))
+        seen = seen.where("_side = 1").join(spans.withColumnRenamed("_k", "_k2").withColumnRenamed("_span", "_span2"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_span") == F.col("_span2")), "left")
+        seen = seen.withColumns({"_b": F.coalesce("_b", "_pb"), "_f": F.coalesce("_f", "_pf"), "_t0": F.col("_first.t"), "_t1": F.col("_last.t")})
     secs = lambda c: F.unix_micros(col(c).cast("timestamp")) / 1e6
     t, before, after = secs("_t"), secs("_b.t"), secs("_f.t")
     gap_b, gap_f = t - before, after - t
