@@ -25,7 +25,7 @@ from tidemark.llm.scratch import Scratch, partitions
 SIZE, PERCENT = 5, 75
 BANDS, PERMUTATIONS = 28, 56
 SALTS, BLOCK = 32, 256
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U) * U(2) + U(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U)

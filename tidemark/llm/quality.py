@@ -23,7 +23,7 @@ BUCKETS, RANGES = 1 << 20, 32
 LABELLED, PRIOR, DEAD, TEMPERATURE, SEED = 20_000, 8.0, 0.7, 0.02, 17
 #: Of unigrams and bigrams: by which power of the length the evidence is divided, and its share in the weight.
 POWERS, SHARES = (0.75, 0.5), (1.0, 0.5)
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BINS = 1000
 
 

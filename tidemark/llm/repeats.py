@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int, rule: str, *, gram: i
     Null texts are empty; null ids count as the largest. Rows of one id and text each get a result. Other columns are
     not read. An empty table gives an empty result."""
     spark = docs.sparkSession
-    spec = Spec(unit, width, gram or width // 2, rule, partitions(spark), slices, keep_text, 1 << 20 if unit == "byte" else 4 << 20)
+    spec = Spec(unit, width, gram or width // 2, rule, partitions(spark), slices, keep_text, 1 << 20 if unit == "byte" else 2 << 20)
     scratch = Scratch(spark, f"repeats-{unit}")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     deal = lambda df: df.repartition(spec.parts, "part")
