@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one has; n_chars follows the text."""
-    rows = dedup_lines(docs).select("row", "kept")
+    rows = dedup_lines(docs, short=True).select("row", "kept")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return rows.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
