@@ -40,3 +40,14 @@ def test_empty(spark):
     docs, items = frames(spark)
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
     assert decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
+def test_each_occurrence_is_judged(spark):
+    one = ITEM.replace("12", "40").replace("Anna", "Maria").replace("3.5", "7,25")
+    two = ITEM.replace("12", "55").replace("Anna", "Paula").replace("3.5", "8").replace("Tom", "Emil")
+    three = ITEM.replace("12", "77").replace("Anna", "Berta").replace("3.5", "9").replace("Tom", "Otto")
+    part = lambda a, b: f"how many of the {a} blue marbles are left after {b} of them were given away"
+    twice = f"{part(12, 5)} and {part(30, 9)}"
+    docs = spark.createDataFrame([(1, f"{one}. {two}. {three}"), (2, f"{FILL} {twice} {FILL}"), (3, f"{ITEM} {FILL} {one} {FILL} {two}"), (4, FILL)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, twice)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()} == {(1, 1), (2, 2), (3, 1)}

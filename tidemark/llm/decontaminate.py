@@ -2,7 +2,7 @@
 
 Numbers, units and mid-sentence names become typed placeholders, so a question with other values keeps its template.
 Windows of WINDOW template tokens are hashed and joined to the benchmark's. A document is a candidate for an item that it
-covers well enough; there the values behind equal slots are compared: each value of the item must stand for one value of
+covers well enough; there the values behind equal slots are compared, for each occurrence of the item and over all of them: each value of the item must stand for one value of
 the document throughout, as it does in a re-parameterised copy and does not in text that only shares a form.
 """
 
@@ -50,6 +50,17 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.join(total, "item_id")
 
 
+def _places(shift: Column, total: Column) -> Column:
+    """Where a hit may belong to: the whole document, and occurrences of the item by the shift of its position.
+
+    An occurrence is a shift exactly, or a band of shifts where words are put in or left out: of 8 tokens, or of half the
+    item, each on two grids, so a spread of half a band stays together and copies that follow each other stay apart."""
+    wide = F.greatest(F.lit(2), F.floor((total + WINDOW) / 2)).cast("bigint")
+    band = lambda kind, bin: F.struct(F.lit(kind).alias("kind"), F.floor(bin).cast("bigint").alias("bin"))
+    bands = [band(2, shift / 8), band(3, (shift + 4) / 8), band(4, shift / wide), band(5, shift / wide + 0.5)]
+    return F.array(band(0, F.lit(0)), band(1, shift), *bands)
+
+
 def _join(rows: DataFrame, windows: DataFrame, on: list[str], small: bool) -> DataFrame:
     return rows.join(F.broadcast(windows) if small else windows.hint("shuffle_hash"), on)
 
@@ -57,7 +68,8 @@ def _join(rows: DataFrame, windows: DataFrame, on: list[str], small: bool) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots and consistency of each document that holds an item, and `_key`.
 
-    An item counts as held if COVERAGE of its windows, or ENOUGH of them, occur in the document, with consistent slots.
+    An item counts as held if COVERAGE of its windows, or ENOUGH of them, occur in the document, with consistent slots,
+    in one occurrence (_places) or over all; the figures are of the one of most windows.
     Null and empty texts hold nothing; items of under WINDOW tokens are never held; equal items are each reported; rows
     of one id and text are reported once, null ids too. Empty tables give an empty result. Other columns are not read."""
     windows = benchmark_windows(benchmark)
@@ -70,15 +82,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     held = texts.dropDuplicates(["_key"]).join(found.select("_key").distinct(), "_key", "left_semi")
     spots = held.withColumns({"tok": template(F.col("text"), False), "val": template(F.col("text"), True)}).select("_key", "val", F.posexplode(_hashes(F.col("tok"))).alias("at", "h"))
-    both = _join(spots.select("_key", "h", F.slice("val", F.col("at") + 1, WINDOW).alias("mine")), windows.select("h", "item_id", "slots"), ["h"], small)
+    both = _join(spots.select("_key", "h", F.col("at").alias("spot"), F.slice("val", F.col("at") + 1, WINDOW).alias("mine")), windows.select("h", "item_id", "at", "total", "slots"), ["h"], small)
     slot = lambda x: F.substring(x, 1, 1).isin(NUM, NAME, UNIT)
-    pairs = both.select("_key", "item_id", F.explode(F.filter(F.arrays_zip("slots", "mine"), lambda x: slot(x["slots"]))).alias("p"))
-    counts = pairs.groupBy("_key", "item_id", F.col("p.slots").alias("theirs"), F.col("p.mine").alias("ours")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("_key", "item_id", "theirs").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    slots = per.groupBy("_key", "item_id").agg(F.sum("n").alias("n_slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
-    out = found.join(slots, ["_key", "item_id"], "left").join(held.select("_key", "doc_id"), "_key")
-    out = out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "_key")
-    return out.where(F.col("consistency") >= CONSISTENT)
+    both = both.select("_key", "item_id", "h", "total", "slots", "mine", F.explode(_places(F.col("spot") - F.col("at"), F.col("total"))).alias("place"))
+    by = ["_key", "item_id", "place"]
+    cover = both.groupBy(*by, "total").agg(F.countDistinct("h").alias("n_windows")).withColumn("coverage", F.col("n_windows") / F.col("total"))
+    cover = cover.where((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= ENOUGH)).drop("total")
+    pairs = both.select(*by, F.explode(F.filter(F.arrays_zip("slots", "mine"), lambda x: slot(x["slots"]))).alias("p"))
+    counts = pairs.groupBy(*by, F.col("p.slots").alias("theirs"), F.col("p.mine").alias("ours")).agg(F.count("*").alias("n"))
+    per = counts.groupBy(*by, "theirs").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    slots = per.groupBy(*by).agg(F.sum("n").alias("n_slots"), (F.sum("top") / F.sum("n")).alias("consistency"))
+    out = cover.join(slots, by, "left").withColumn("good", F.coalesce("consistency", F.lit(1.0))).where(F.col("good") >= CONSISTENT)
+    rank = F.struct("n_windows", "good", F.col("place.kind"), F.col("place.bin"))
+    out = out.groupBy("_key", "item_id").agg(F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistency"), rank).alias("x")).select("_key", "item_id", "x.*")
+    out = out.join(held.select("_key", "doc_id"), "_key")
+    return out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "_key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
