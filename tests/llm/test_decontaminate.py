@@ -51,3 +51,11 @@ def test_each_occurrence_is_judged(spark):
     docs = spark.createDataFrame([(1, f"{one}. {two}. {three}"), (2, f"{FILL} {twice} {FILL}"), (3, f"{ITEM} {FILL} {one} {FILL} {two}"), (4, FILL)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, twice)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_items_without_windows(spark):
+    numbers = "Compute 3 + 4 + 5 + 6 + 7 and 8 + 9 + 10 + 11"
+    docs = spark.createDataFrame([(1, f"{FILL} so, {numbers}. {FILL}"), (2, f"{FILL} {numbers.replace('9', '2')} {FILL}"), (3, f"{FILL}\nWhat is 7 times 8?\n{FILL}"), (4, "what is 7 times 9"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, numbers), (2, "What is 7 times 8?"), (3, ""), (4, None), (5, ITEM)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in contaminated(docs, items).collect()} == {(1, 1, 1.0), (3, 2, 1.0)}
+    assert sorted(r["doc_id"] for r in decontaminate(docs, items).collect()) == [2, 4, 5]

@@ -65,12 +65,34 @@ def _join(rows: DataFrame, windows: DataFrame, on: list[str], small: bool) -> Da
     return rows.join(F.broadcast(windows) if small else windows.hint("shuffle_hash"), on)
 
 
+def _plain(text: Column) -> Column:
+    """Tokens of a text with their values and without the marks of slots."""
+    return F.transform(template(text, True), lambda x: F.translate(x, NUM + NAME + UNIT, ""))
+
+
+def whole_items(texts: DataFrame, benchmark: DataFrame, windows: DataFrame) -> DataFrame | None:
+    """The held items that have no window of `windows`, found by all their tokens with the exact values; None without such items."""
+    slot = lambda x: F.substring(x, 1, 1).isin(NUM, NAME, UNIT)
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").join(windows.select("item_id").distinct(), "item_id", "left_anti")
+    items = items.select("item_id", _plain(F.col("text")).alias("tok"), F.size(F.filter(template(F.col("text"), True), slot)).cast("bigint").alias("n_slots"))
+    items = items.where(F.size("tok") > 0).select("item_id", F.size("tok").alias("n"), F.xxhash64("tok").alias("h"), "n_slots")
+    lengths = sorted(x["n"] for x in items.select("n").distinct().collect())
+    if not lengths:
+        return None
+    of = lambda t, n: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, n)))
+    runs = lambda t: F.flatten(F.transform(F.filter(F.lit(lengths), lambda n: n <= F.size(t)), lambda n: of(t, n)))
+    hits = texts.select("_key", "doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array(_plain(F.col("text"))), runs)))).alias("h"))
+    held = _join(hits, items, ["h"], items.count() <= BROADCAST_WINDOWS).dropDuplicates(["_key", "item_id"])
+    return held.select("doc_id", "item_id", F.lit(1).cast("bigint").alias("n_windows"), F.lit(1.0).alias("coverage"), "n_slots", F.lit(1.0).alias("consistency"), "_key")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots and consistency of each document that holds an item, and `_key`.
 
     An item counts as held if COVERAGE of its windows, or ENOUGH of them, occur in the document, with consistent slots,
     in one occurrence (_places) or over all; the figures are of the one of most windows.
-    Null and empty texts hold nothing; items of under WINDOW tokens are never held; equal items are each reported; rows
+    Null and empty texts hold nothing; an item without a window that counts is held
+    where all its tokens stand in a row with the same values, as one window; equal items are each reported; rows
     of one id and text are reported once, null ids too. Empty tables give an empty result. Other columns are not read."""
     windows = benchmark_windows(benchmark)
     small = windows.count() <= BROADCAST_WINDOWS
@@ -96,7 +118,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rank = F.struct("n_windows", "good", F.col("place.kind"), F.col("place.bin"))
     out = out.groupBy("_key", "item_id").agg(F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistency"), rank).alias("x")).select("_key", "item_id", "x.*")
     out = out.join(held.select("_key", "doc_id"), "_key")
-    return out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "_key")
+    whole = whole_items(texts, benchmark, windows)
+    out = out.select("doc_id", "item_id", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), "_key")
+    return out if whole is None else out.unionByName(whole)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
