@@ -183,3 +183,14 @@ def test_jobs_and_lines(spark):
     lines = store.lines_of_passes(pts, ["k"]).collect()
     assert len(lines) == 1 and lines[0]["wkt"] == "LINESTRING(0.0 0.0, 1.0 2.0)"
     assert store.job_errors({"product": "ATL13", "region_slug": "x"}) == [] and store.job_errors({"product": "X", "batch_size": 0}) == ["product", "one of region_slug and region", "batch_size"]
+
+
+def test_radius_join_paths_agree_at_meridian_and_pole(spark, monkeypatch):
+    from tidemark.operators import joins
+
+    points = spark.createDataFrame([(1, 10.0, -179.9), (2, 10.0, 179.95), (3, 89.9, -170.0), (4, -89.95, 100.0), (5, 10.0, 180.0), (6, 89.9999, -170.0)], "p int, lat double, lon double")
+    stations = spark.createDataFrame([(1, 10.0, 179.9), (2, 89.9, 175.0), (3, -89.95, -120.0), (4, 89.95, 20.0), (5, 89.9999, 20.0)], "s int, s_lat double, s_lon double")
+    rows = lambda: [sorted((r["p"], r["s"]) for r in joins.radius_join(points, stations, km).collect()) for km in (30.0, 0.1)]
+    few = rows()
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    assert rows() == few and {(1, 1), (2, 1), (5, 1), (3, 2), (4, 3), (3, 4)} <= set(few[0]) and (6, 5) in few[1]

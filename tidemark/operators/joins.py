@@ -77,12 +77,18 @@ def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts:
     return seen.select("_row.*", F.when(ok, found).alias(f"{prefix}value"), (ok & F.coalesce(inter, F.lit(False))).alias(f"{prefix}interpolated"), gap.alias(f"{prefix}gap_hours"))
 
 
+def _column(x: Column) -> Column:
+    """Column of cells around the earth, which meets itself at the meridian of 180 degrees."""
+    return F.pmod(x, F.lit(int(360 / CELL_DEG)))
+
+
 def _cells(lat, lon, km: float) -> Column:
-    """Cells of CELL_DEG that a circle of `km` around a point can touch."""
+    """Cells of CELL_DEG that a circle of `km` around a point can touch, each once."""
     dlat = km / 111.0 + 1e-9
-    dlon = F.least(F.lit(180.0), dlat / F.greatest(F.lit(1e-3), F.cos(F.radians(F.least(F.lit(90.0), F.abs(col(lat)) + dlat)))))
+    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs(col(lat)) + dlat)))
+    dlon = F.when(narrow < 1e-3, F.lit(180.0)).otherwise(F.least(F.lit(180.0), dlat / narrow))
     span = lambda c, d: F.sequence(F.floor((c - d) / CELL_DEG), F.floor((c + d) / CELL_DEG))
-    return F.flatten(F.transform(span(col(lat), F.lit(dlat)), lambda y: F.transform(span(col(lon), dlon), lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
+    return F.array_distinct(F.flatten(F.transform(span(col(lat), F.lit(dlat)), lambda y: F.transform(span(col(lon), dlon), lambda x: F.struct(y.alias("cy"), _column(x).alias("cx"))))))
 
 
 def radius_join(points: DataFrame, stations: DataFrame, km: float, *, lat="lat", lon="lon", s_lat="s_lat", s_lon="s_lon", out="distance_km") -> DataFrame:
@@ -92,7 +98,7 @@ def radius_join(points: DataFrame, stations: DataFrame, km: float, *, lat="lat",
         near = F.abs(F.col(lat) - F.col(s_lat)) <= km / 111.0
         return points.join(F.broadcast(stations), near & (dist <= km)).withColumn(out, dist)
     there = stations.withColumn("_c", F.explode(_cells(s_lat, s_lon, km))).select("*", "_c.cy", "_c.cx").drop("_c")
-    here = points.withColumns({"cy": F.floor(F.col(lat) / CELL_DEG), "cx": F.floor(F.col(lon) / CELL_DEG)})
+    here = points.withColumns({"cy": F.floor(F.col(lat) / CELL_DEG), "cx": _column(F.floor(F.col(lon) / CELL_DEG))})
     return here.join(there, ["cy", "cx"]).drop("cy", "cx").where(dist <= km).withColumn(out, dist)
 
 
