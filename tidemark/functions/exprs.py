@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from itertools import pairwise
 
@@ -174,17 +175,38 @@ def utm_inverse(x, y, epsg) -> tuple[Column, Column]:
     return F.degrees(phi), F.degrees(F.atan2(F.sinh(v), F.cos(u))) + ((epsg % 100) * 6 - 183)
 
 
+#: Rings of up to so many edges stand in the plan edge by edge; larger ones are an array that is folded for each row.
+FEW_EDGES = 64
+
+
+def _crossing(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Whether a ray to the east crosses an edge, and whether the point lies on it."""
+    at = (x2 - x1) * (y - y1) / F.when(y2 != y1, y2 - y1) + x1
+    crosses = F.coalesce(((y1 > y) != (y2 > y)) & (x < at), F.lit(False))
+    on = ((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1) == 0) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    return crosses, on
+
+
 def in_polygon(x, y, rings: list[list[tuple[float, float]]]) -> Column:
     """Strictly inside closed rings (lon, lat) by crossing parity, so holes count; a point on an edge is outside."""
     x, y = col(x), col(y)
+    edges = [(float(x1), float(y1), float(x2), float(y2)) for ring in rings for (x1, y1), (x2, y2) in pairwise(ring)]
+    if len(edges) > FEW_EDGES:
+        table = F.from_json(F.lit(json.dumps(edges)), "array<array<double>>")  # a constant, parsed once
+        start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+
+        def step(s: Column, e: Column) -> Column:
+            c, on = _crossing(x, y, e[0], e[1], e[2], e[3])
+            return F.struct((s["odd"] != c).alias("odd"), (s["on"] | on).alias("on"))
+
+        return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(table, start, step, lambda s: s["odd"] & ~s["on"]))
     crossings, on_edge = F.lit(0), F.lit(False)
-    for ring in rings:
-        for (x1, y1), (x2, y2) in pairwise(ring):
-            if y1 != y2:
-                at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
-                crossings = crossings + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < at), 1).otherwise(0)
-            cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
-            on_edge = on_edge | ((cross == 0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
+    for x1, y1, x2, y2 in edges:
+        if y1 != y2:
+            at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
+            crossings = crossings + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < at), 1).otherwise(0)
+        cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
+        on_edge = on_edge | ((cross == 0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
     return (crossings % 2 == 1) & ~on_edge
 
 

@@ -12,6 +12,8 @@ from tidemark.functions.exprs import col, finite, haversine_km
 #: Sides of at most so many rows are sent to all executors; others are joined through cells of the earth.
 SMALL_ROWS = 10_000
 CELL_DEG = 0.25
+#: Length of the spans of time that as-of joins deal series into: a year.
+SPAN_HOURS = 8784.0
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -25,7 +27,7 @@ def lookup_first(left: DataFrame, right: DataFrame, keys: list[str], order: list
     return left.join(first_per_key(right, keys, order).select(*keys, *columns), keys, "left")
 
 
-def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts: str = "ts", value: str = "value", method: str = "linear", max_gap_hours: float | None = 24.0, ends: str = "nearest", prefix: str = "", span_hours: float | None = None) -> DataFrame:
+def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts: str = "ts", value: str = "value", method: str = "linear", max_gap_hours: float | None = 24.0, ends: str = "nearest", prefix: str = "", span_hours: float | None = SPAN_HOURS) -> DataFrame:
     """Each probe with <prefix>value, <prefix>interpolated and <prefix>gap_hours from the series of its key.
 
     The nearest observation (the earlier on a tie) must lie within max_gap_hours, else the value is null and the gap
@@ -33,8 +35,9 @@ def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts:
     at or beyond the ends of the series (`ends` "null": nothing outside, no gap limit). Observations without value are
     passed over and repeated times keep their least value; keys without observations give null.
 
-    One union and one window by key; no inequality join. With span_hours the window goes by key and span of time, and each
-    span gets the observations before and after it from a table of spans, so a long series is dealt over many tasks."""
+    One union and windows by key and span of time; no inequality join, and frames only grow, so the work is linear. Each
+    span gets the observations before and after it from a table of spans, so a long series is dealt over many tasks; with
+    span_hours None the windows go by key alone, which saves a join where all series are short. Results are the same."""
     obs = series.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), finite(value).alias("_v")).where("_v is not null and _t is not null")
     obs = obs.groupBy("_k", "_t").agg(F.min("_v").alias("_v"))
     side = probes.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.struct("*").alias("_row"))
@@ -44,17 +47,18 @@ def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts:
     if span_hours is not None:
         both = both.withColumn("_span", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (span_hours * 3.6e9)))
         part = ["_k", "_span"]
-    w = Window.partitionBy(*part).orderBy("_t", "_side")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    seen = both.withColumns({"_b": F.last(mark, True).over(back), "_f": F.first(mark, True).over(ahead)})
+    w = Window.partitionBy(*part)
+    back = w.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as frames to the end are summed anew for each row
+    seen = both.withColumns({"_b": F.last(mark, True).over(back), "_f": F.last(mark, True).over(ahead)})
     if span_hours is None:
         whole, at_obs = Window.partitionBy("_k"), F.when(F.col("_side") == 0, F.col("_t"))
         seen = seen.withColumns({"_t0": F.min(at_obs).over(whole), "_t1": F.max(at_obs).over(whole)}).where("_side = 1")
     else:
         spans = both.groupBy("_k", "_span").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
-        s = Window.partitionBy("_k").orderBy("_span")
-        before, after = s.rowsBetween(Window.unboundedPreceding, -1), s.rowsBetween(1, Window.unboundedFollowing)
-        spans = spans.select("_k", "_span", F.last("_hi", True).over(before).alias("_pb"), F.first("_lo", True).over(after).alias("_pf"), F.min("_lo").over(Window.partitionBy("_k")).alias("_first"), F.max("_hi").over(Window.partitionBy("_k")).alias("_last"))
+        s = Window.partitionBy("_k")
+        before, after = (s.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_span", F.desc("_span")))
+        spans = spans.select("_k", "_span", F.last("_hi", True).over(before).alias("_pb"), F.last("_lo", True).over(after).alias("_pf"), F.min("_lo").over(Window.partitionBy("_k")).alias("_first"), F.max("_hi").over(Window.partitionBy("_k")).alias("_last"))
         seen = seen.where("_side = 1").join(spans.withColumnRenamed("_k", "_k2").withColumnRenamed("_span", "_span2"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_span") == F.col("_span2")), "left")
         seen = seen.withColumns({"_b": F.coalesce("_b", "_pb"), "_f": F.coalesce("_f", "_pf"), "_t0": F.col("_first.t"), "_t1": F.col("_last.t")})
     secs = lambda c: F.unix_micros(col(c).cast("timestamp")) / 1e6
@@ -77,28 +81,31 @@ def asof(probes: DataFrame, series: DataFrame, *, key: str, at: str = "ts", ts:
     return seen.select("_row.*", F.when(ok, found).alias(f"{prefix}value"), (ok & F.coalesce(inter, F.lit(False))).alias(f"{prefix}interpolated"), gap.alias(f"{prefix}gap_hours"))
 
 
-def _column(x: Column) -> Column:
-    """Column of cells around the earth, which meets itself at the meridian of 180 degrees."""
-    return F.pmod(x, F.lit(int(360 / CELL_DEG)))
+def _columns(km: float) -> int:
+    """Columns of cells around the earth: cells of CELL_DEG, larger for large circles, so that a circle touches tens of them."""
+    return max(1, int(360 / max(CELL_DEG, km / 444)))
+
+
+def _cell(c: Column, n: int) -> Column:
+    return F.floor(c * (n / 360))
 
 
 def _cells(lat, lon, km: float) -> Column:
-    """Cells of CELL_DEG that a circle of `km` around a point can touch, each once."""
-    dlat = km / 111.0 + 1e-9
+    """Cells that a circle of `km` around a point can touch, each once; columns meet at the meridian of 180 degrees."""
+    n, dlat = _columns(km), km / 111.0 + 1e-9
     narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs(col(lat)) + dlat)))
     dlon = F.when(narrow < 1e-3, F.lit(180.0)).otherwise(F.least(F.lit(180.0), dlat / narrow))
-    span = lambda c, d: F.sequence(F.floor((c - d) / CELL_DEG), F.floor((c + d) / CELL_DEG))
-    return F.array_distinct(F.flatten(F.transform(span(col(lat), F.lit(dlat)), lambda y: F.transform(span(col(lon), dlon), lambda x: F.struct(y.alias("cy"), _column(x).alias("cx"))))))
+    span = lambda c, d: F.sequence(_cell(c - d, n), _cell(c + d, n))
+    return F.array_distinct(F.flatten(F.transform(span(col(lat), F.lit(dlat)), lambda y: F.transform(span(col(lon), dlon), lambda x: F.struct(y.alias("cy"), F.pmod(x, F.lit(n)).alias("cx"))))))
 
 
 def radius_join(points: DataFrame, stations: DataFrame, km: float, *, lat="lat", lon="lon", s_lat="s_lat", s_lon="s_lon", out="distance_km") -> DataFrame:
-    """Pairs within `km`. A few stations go to all executors behind a box test; many meet the points in cells."""
-    dist = haversine_km(lat, lon, s_lat, s_lon)
-    if stations.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        near = F.abs(F.col(lat) - F.col(s_lat)) <= km / 111.0
-        return points.join(F.broadcast(stations), near & (dist <= km)).withColumn(out, dist)
+    """Pairs within `km`, by an equi-join on the cells that each station's circle touches; the cells of at most SMALL_ROWS
+    stations go to all executors, which changes the plan and not the rows."""
+    dist, n = haversine_km(lat, lon, s_lat, s_lon), _columns(km)
     there = stations.withColumn("_c", F.explode(_cells(s_lat, s_lon, km))).select("*", "_c.cy", "_c.cx").drop("_c")
-    here = points.withColumns({"cy": F.floor(F.col(lat) / CELL_DEG), "cx": _column(F.floor(F.col(lon) / CELL_DEG))})
+    there = F.broadcast(there) if stations.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else there
+    here = points.withColumns({"cy": _cell(F.col(lat), n), "cx": F.pmod(_cell(F.col(lon), n), F.lit(n))})
     return here.join(there, ["cy", "cx"]).drop("cy", "cx").where(dist <= km).withColumn(out, dist)
 
 

@@ -4,11 +4,12 @@ Stations and radii are a small dimension table in one plan, not loops."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import MEDIAN_SE, NMAD, finite, is_close, local_flags, truthy
+from tidemark.functions.exprs import MEDIAN_SE, NMAD, col, finite, is_close, joined_ints, local_flags, truthy
 from tidemark.operators.joins import asof, radius_join
+from tidemark.operators.models import bootstrap_median
 from tidemark.operators.robust import matchup_summary, residual_stats, spread_columns, with_all, with_deviation
 
 #: Matchups that a radius needs to be reported.
@@ -98,7 +99,13 @@ def station_summary(ladder: DataFrame, main: float = MAIN_RADIUS, few: int = FEW
 def alignment(found: DataFrame, value: str = "residual") -> DataFrame:
     """Residual statistics per station and ALL. `value_mean` is the reported constant, `value_median` its robust sibling."""
     one = residual_stats(found, ["station_id"], value).withColumns({"station": F.col("station_id").cast("string"), "is_total": F.lit(False)}).drop("station_id")
-    all_ = residual_stats(found.withColumn("_g", F.lit(1)), ["_g"], value).withColumns({"station": F.lit("ALL"), "is_total": F.lit(True)}).drop("_g")
+    v = finite(value)
+    rows = found.select(v.alias("_v")).crossJoin(found.agg(F.median(v).alias("_m")))  # one row
+    half = 1.96 * F.stddev_samp("_v") / F.sqrt(F.count("_v"))
+    all_ = rows.agg(
+        F.count("_v").alias("n"), F.avg("_v").alias("bias"), F.avg(F.abs("_v")).alias("mae"), F.sqrt(F.avg(F.col("_v") * F.col("_v"))).alias("rmse"), F.stddev_samp("_v").alias("std"),
+        (NMAD * F.median(F.abs(F.col("_v") - F.col("_m")))).alias("nmad"), F.median("_v").alias("median"), (F.avg("_v") - half).alias("ci_low"), (F.avg("_v") + half).alias("ci_high"),
+    ).withColumns({"station": F.lit("ALL"), "is_total": F.lit(True)})
     return one.unionByName(all_).withColumnsRenamed({"bias": "value_mean", "median": "value_median"})
 
 
@@ -142,9 +149,13 @@ def corrector_uncertainty(stations: DataFrame, ladder: DataFrame, few: int = FEW
 
 
 def cross_station(stations: DataFrame, value: str = "c_a", against: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
-    """One row: spread of the stations' values and least-squares slopes against places."""
+    """One row: spread of the stations' values, the median half-width of their intervals if they have one (ci_low, ci_high), and least-squares
+    slopes against places or whatever `against` names; a fit needs three stations."""
     rows = stations.withColumn("_dev", F.abs(F.col(value) - F.median(value).over(Window.partitionBy(F.lit(0)))))
-    fits = [c for x in against for c in (F.regr_slope(value, x).alias(f"slope_{x}"), F.when(F.regr_syy(value, x) > 0, F.regr_r2(value, x)).alias(f"r2_{x}"))]
+    three = lambda x, c: F.when(F.regr_count(value, x) >= 3, c)
+    fits = [c for x in against for c in (three(x, F.regr_slope(value, x)).alias(f"slope_{x}"), three(x, F.regr_intercept(value, x)).alias(f"intercept_{x}"), three(x, F.when(F.regr_syy(value, x) > 0, F.regr_r2(value, x))).alias(f"r2_{x}"))]
+    if {"ci_low", "ci_high"} <= set(stations.columns):
+        fits.append(F.median((F.col("ci_high") - F.col("ci_low")) / 2).alias("ci_half"))
     return rows.agg(F.count(value).alias("n"), F.median(value).alias("median"), (NMAD * F.median("_dev")).alias("nmad"), F.stddev_samp(value).alias("std"), (F.max(value) - F.min(value)).alias("range"), *fits)
 
 
@@ -152,3 +163,90 @@ def outliers(found: DataFrame, stations: DataFrame, limit: float = 0.12) -> Data
     """Matchups at the reported radius that lie more than `limit` from their station's value."""
     s = stations.select("station_id", "reported_radius_km", F.col("c_a").alias("station_c"))
     return found.join(s, "station_id").where(is_close("radius_km", "reported_radius_km") & (F.abs(F.col("c_a") - F.col("station_c")) > limit))
+
+
+def empirical(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, median, mean, std, mad, nmad, p05, p95 and iqr of the finite values of each group."""
+    iqr = F.percentile("_v", 0.75) - F.percentile("_v", 0.25)
+    rows = with_deviation(df.withColumn("_v", finite(value)), keys, "_v")
+    return rows.groupBy(*keys).agg(*(c.alias("n" if n == "n_points" else n) for n, c in spread_columns("_v").items()), iqr.alias("iqr"))
+
+
+def with_interval(stats: DataFrame, df: DataFrame, keys: list[str], value: str, order: list[str], **options) -> DataFrame:
+    """Adds the bootstrap interval of the median to rows of `keys`."""
+    return stats.join(bootstrap_median(df, keys, value, order, **options).drop("n"), keys, "left")
+
+
+def low_sample(n: str = "n", few: int = FEW) -> Column:
+    return F.when(F.col(n) < few, "LOW_SAMPLE").otherwise("OK")
+
+
+def by_radius(found: DataFrame, keys: tuple[str, ...] = ("station_id", "radius_km"), *, value="c_a", level="median") -> DataFrame:
+    """One row for each station and radius: spread of the corrector, dates, tracks, the median level and a flag."""
+    more = found.groupBy(*keys).agg(F.countDistinct("date").alias("n_dates"), F.countDistinct("rgt").alias("n_rgts"), joined_ints("rgt").alias("rgts"), F.median(level).alias("median_level"))
+    return empirical(found, list(keys), value).join(more, list(keys)).withColumn("flag", low_sample())
+
+
+def by_track(found: DataFrame, reported: DataFrame, *, value="c_a") -> DataFrame:
+    """Per station and track at the station's reported radius, and the track's bias against the station."""
+    rows = found.join(reported, "station_id").where(is_close("radius_km", "reported_radius_km"))
+    whole = rows.groupBy("station_id").agg(F.median(value).alias("station_median"))
+    out = empirical(rows, ["station_id", "rgt"], value).join(rows.groupBy("station_id", "rgt").agg(F.countDistinct("date").alias("n_dates")), ["station_id", "rgt"]).join(whole, "station_id")
+    return out.withColumns({"rgt_bias": F.col("median") - F.col("station_median"), "flag": low_sample()})
+
+
+def uncertainty_table(found: DataFrame, ladder: DataFrame, reported: DataFrame, *, accuracy_m: float, few: int = FEW) -> DataFrame:
+    """Per station: precision at the reported radius, and the parts of the systematic budget, each in its own column and never combined.
+
+    Stations without a reported radius are rows with n 0. Spread over time is that of the medians of the three strategies."""
+    rows = found.join(reported, "station_id").where(is_close("radius_km", "reported_radius_km"))
+    medians = rows.groupBy("station_id").agg(*(F.median(f"c_{x}").alias(f"_{x}") for x in "abc"))
+    out = reported.join(empirical(rows, ["station_id"], "c_a"), "station_id", "left").join(medians, "station_id", "left")
+    spread = F.greatest("_a", "_b", "_c") - F.least("_a", "_b", "_c")
+    text = {"sigma_gauge_zero_m": "not independently constrained", "sigma_egg2015_model_m": "unresolved (not inferred from these gauges)", "sigma_atl13_bias_m": "unresolved (see rgt_bias diagnostics)"}
+    out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "temporal_spread": spread, "operation_accuracy_m": F.lit(accuracy_m), **{n: F.lit(t) for n, t in text.items()}})
+    return corrector_uncertainty(out, ladder, few).drop("_a", "_b", "_c").withColumn("flag", low_sample(few=few))
+
+
+def corrector_usage(points: DataFrame, station="station", value="c_station_m", km="station_km") -> DataFrame:
+    """How many points take each station's corrector, and from how far."""
+    return points.groupBy(station).agg(F.count("*").alias("n"), F.first(value).alias(value), F.avg(km).alias("mean_km"), F.max(km).alias("max_km"))
+
+
+def worst(df: DataFrame, value: str, ties: list[str], n: int = 3) -> DataFrame:
+    """The n rows of largest absolute value."""
+    return df.where(finite(value).isNotNull()).orderBy(F.desc(F.abs(value)), *ties).limit(n)
+
+
+def densest(passes: DataFrame, keys: list[str], n: str = "n_points") -> DataFrame:
+    """The pass of most points of each group; of equals the last in the order of all columns."""
+    rest = [c for c in passes.columns if c not in keys]
+    return passes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(n, *[c for c in rest if c != n])).alias("_p")).select(*keys, "_p.*")
+
+
+def all_radii(radii: Column, *more: float) -> Column:
+    """The ladder's radii with some others, each once and in order."""
+    return F.array_sort(F.array_union(radii, F.array(*(F.lit(float(r)) for r in more))))
+
+
+def regimes_label(regimes: str | Column) -> Column:
+    return F.array_join(regimes, "+")
+
+
+def signed(value: str | Column, digits: int = 3) -> Column:
+    """A number with its sign, for tables; null stays null."""
+    return F.when(col(value).isNotNull(), F.format_string(f"%+.{digits}f", col(value).cast("double")))
+
+
+def short_number(value: str | Column) -> Column:
+    """A number without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", col(value).cast("double")), r"0+$", ""), r"\.$", "")
+
+
+def provisional(passes: DataFrame, daily: DataFrame, *, km: float, delta: float, period: str, value="h_bs77_m", level="median") -> DataFrame:
+    """One row: the corrector of a post downstream from the passes within `km` in one period, against its daily series
+    interpolated to the day of the pass and never beyond its ends. `passes` has station_km, `daily` date."""
+    near = passes.where((F.col("period") == period) & (F.col("station_km") <= km)).withColumns({"_k": F.lit(1), "_day": F.date_trunc("day", F.col("datetime").cast("timestamp"))})
+    series = daily.where(F.col("period") == period).select(F.lit(1).alias("_k"), F.col("date").cast("timestamp").alias("_day"), F.col(value).alias("value"))
+    at = asof(near, series, key="_k", at="_day", ts="_day", max_gap_hours=None, ends="null").where("value is not null")
+    return empirical(at.withColumn("c", F.col("value") + delta - F.col(level)), ["_k"], "c").drop("_k")

@@ -49,6 +49,41 @@ def local_plane(lat0: float, lon0: float, lat: np.ndarray, lon: np.ndarray) -> n
     return np.array([(r * np.sin(z), r * np.cos(z)) for r, z in polar]).reshape(-1, 2)
 
 
+def direct(lat1: float, lon1: float, distance: float, azimuth: float) -> tuple[float, float]:
+    """Where a geodesic of this length and azimuth ends, by Vincenty's direct formula."""
+    if distance == 0:
+        return lat1, lon1
+    b = _A * (1 - _FLAT)
+    tan_u = (1 - _FLAT) * np.tan(np.radians(lat1))
+    cos_u = 1 / np.hypot(1, tan_u)
+    sin_u = tan_u * cos_u
+    start = np.arctan2(tan_u, np.cos(azimuth))
+    sin_a = cos_u * np.sin(azimuth)
+    cos2a = 1 - sin_a**2
+    k = cos2a * (_A**2 - b**2) / b**2
+    p = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    q = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    s = distance / (b * p)
+    for _ in range(100):
+        mid = np.cos(2 * start + s)
+        fix = q * np.sin(s) * (mid + q / 4 * (np.cos(s) * (2 * mid**2 - 1) - q / 6 * mid * (4 * np.sin(s) ** 2 - 3) * (4 * mid**2 - 3)))
+        new = distance / (b * p) + fix
+        if abs(new - s) < 1e-14:
+            break
+        s = new
+    along = sin_u * np.sin(s) - cos_u * np.cos(s) * np.cos(azimuth)
+    lat = np.arctan2(sin_u * np.cos(s) + cos_u * np.sin(s) * np.cos(azimuth), (1 - _FLAT) * np.hypot(sin_a, along))
+    lam = np.arctan2(np.sin(s) * np.sin(azimuth), cos_u * np.cos(s) - sin_u * np.sin(s) * np.cos(azimuth))
+    c = _FLAT / 16 * cos2a * (4 + _FLAT * (4 - 3 * cos2a))
+    turn = (1 - c) * _FLAT * sin_a * (s + c * np.sin(s) * (mid + c * np.cos(s) * (2 * mid**2 - 1)))
+    return float(np.degrees(lat)), float((lon1 + np.degrees(lam - turn) + 180) % 360 - 180)
+
+
+def from_local_plane(lat0: float, lon0: float, xy: np.ndarray) -> np.ndarray:
+    """Latitude and longitude of azimuthal equidistant coordinates."""
+    return np.array([direct(lat0, lon0, float(np.hypot(x, y)), float(np.arctan2(x, y))) for x, y in xy]).reshape(-1, 2)
+
+
 def _circumcircle(p):
     (ax, ay), (bx, by), (cx, cy) = p
     d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
@@ -81,14 +116,10 @@ def predict(model: str, xy: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.nda
         fit, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(v)), xy]), v, rcond=None)
         return np.column_stack([np.ones(len(at)), at]) @ fit
     if model.startswith("idw"):
-        power = float(model.rpartition("p")[2])
-        out = []
-        for p in at:
-            d = np.hypot(*(xy - p).T)
-            hit = d <= 1e-6
-            w = None if hit.any() else d**-power
-            out.append(v[hit].mean() if w is None else (w * v).sum() / w.sum())
-        return np.array(out)
+        d = np.linalg.norm(at[:, None, :] - xy[None, :, :], axis=2)  # points by stations
+        nodes = d <= 1e-6
+        weight = np.where(nodes.any(axis=1, keepdims=True), nodes, np.maximum(d, 1e-6) ** -float(model.rpartition("p")[2]))
+        return weight @ v / weight.sum(axis=1)
     if model == "linear":
         out, triangles = np.full(len(at), np.nan), delaunay(xy)
         for i, p in enumerate(at):
@@ -105,6 +136,31 @@ def predict(model: str, xy: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.nda
     raise ValueError(f"no model {model!r}; there are {', '.join(MODELS)}")
 
 
+def fit_all(stations: DataFrame, nodes: DataFrame, *, lat="lat", lon="lon", value="value", models=MODELS) -> DataFrame:
+    """(model, iy, ix, value, error) of each model over the nodes of a lattice (iy, ix, lat, lon).
+
+    Models that cannot be fitted give one row with the reason in `error` and the other columns null. Control points are
+    tens at most and travel with the task; nodes are dealt over all tasks."""
+    got = stations.select(F.col(lat).cast("double"), F.col(lon).cast("double"), F.col(value).cast("double")).where(F.col(value).isNotNull()).orderBy(lat, lon).toPandas()
+    got.columns = ["lat", "lon", "v"]
+    least = {"constant": 1, "plane": 3, "linear": 3}
+    center = (got["lat"].mean(), got["lon"].mean()) if len(got) else (0.0, 0.0)
+    xy = local_plane(*center, got["lat"], got["lon"])
+    failed = [(m, f"{m} needs {least.get(m, 1)} stations, there are {len(got)}") for m in models if len(got) < least.get(m, 1)]
+    fitted = [m for m in models if m not in dict(failed)]
+
+    def run(frames):
+        for pdf in frames:
+            at = local_plane(*center, pdf["lat"], pdf["lon"])
+            for m in fitted:
+                v = predict(m, xy, got["v"].to_numpy(), at)
+                yield pd.DataFrame({"model": m, "iy": pdf["iy"], "ix": pdf["ix"], "value": np.where(np.isnan(v), None, v), "error": None})
+
+    out = nodes.select("iy", "ix", "lat", "lon").mapInPandas(run, "model string, iy int, ix int, value double, error string")
+    bad = nodes.sparkSession.createDataFrame(failed, "model string, error string")
+    return out.unionByName(bad, allowMissingColumns=True)
+
+
 def leave_one_out(stations: DataFrame, *, key="slug", lat="lat", lon="lon", value="value", models=MODELS) -> DataFrame:
     """(model, fold, n_train, observed, predicted, error) of each model with each station left out in turn.
 
@@ -133,7 +189,7 @@ def leave_one_out(stations: DataFrame, *, key="slug", lat="lat", lon="lon", valu
 
 def cv_summary(folds: DataFrame) -> DataFrame:
     e = F.col("error")
-    return folds.groupBy("model").agg(F.count(e).alias("n_predicted"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_abs"), F.max(F.abs(e)).alias("max_abs"))
+    return folds.groupBy("model").agg(F.count("*").alias("n_folds"), F.count(e).alias("n_predicted"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_abs"), F.max(F.abs(e)).alias("max_abs"))
 
 
 def bootstrap_median(df: DataFrame, keys: list[str], value: str, order: list[str], *, n: int = 10_000, seed: int = 20260903, alpha: float = 0.05) -> DataFrame:

@@ -176,3 +176,37 @@ def spread_by(df: DataFrame, keys: list[str], value: str, n: str, few: int = 5)
 def fixed_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     """A sample of `n` rows that does not depend on partitions, for plots."""
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """Means of a value with one column for each of `columns`; naming them saves a pass over the rows."""
+    return df.groupBy(row).pivot(column, columns).agg(F.avg(value))
+
+
+def flag_counts(df: DataFrame, flags: str = "qc_flags") -> DataFrame:
+    """How often each of the flags joined by | occurs."""
+    return df.select(F.explode(F.split(flags, r"\|")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def disagreeing(df: DataFrame, keys: list[str], value: str, most: float) -> DataFrame:
+    """Rows of groups of two or more whose values span more than `most`."""
+    bad = df.groupBy(*keys).agg(F.count(value).alias("_n"), (F.max(value) - F.min(value)).alias("_d")).where((F.col("_n") > 1) & (F.col("_d") > most))
+    return df.join(bad, keys, "left_semi")
+
+
+def gross_outliers(passes: DataFrame, noise: str = "nmad", spread: str = "range_m", *, most_noise: float = 0.30, most_range: float = 2.0, label: str = "gross") -> DataFrame:
+    """Passes that are too noisy or too wide, with the reason."""
+    return passes.where((F.col(noise) > most_noise) | (F.col(spread) > most_range)).withColumn("reason", F.lit(label))
+
+
+def monthly(df: DataFrame, date: str, value: str) -> DataFrame:
+    return df.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def coverage_counts(df: DataFrame, keys: list[str], ok: str) -> DataFrame:
+    """Rows and good rows of each group, for an operator's overview."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(truthy(ok)).alias("n_ok"))
+
+
+def recent_failures(jobs: DataFrame, n: int = 20) -> DataFrame:
+    return jobs.where("status = 'failed'").orderBy(F.desc("finished_at"), "job_id").limit(n)

@@ -128,7 +128,7 @@ SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, '|')) AS flag
 def qc_flag_explode(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.avg("l_tax").alias("t"), F.stddev_samp("l_extendedprice").alias("s"))
     flags = F.concat_ws("|", F.when(F.col("n") < 190, "few"), F.when(F.col("t") > 0.04, "tax"), F.when(F.col("s") > 23000, "spread"))
-    return g.select(F.explode(F.split(flags, r"\|")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
+    return robust.flag_counts(g.select(flags.alias("qc_flags")))
 
 
 _ASOF = """
@@ -187,11 +187,13 @@ def daily_reservoir_level(spark, sf):
     return rounded(robust.level_by_date(_order_levels(spark, sf)), "reservoir_level")
 
 
-@query(f"""WITH l AS ({_LEVELS}), d AS (SELECT date, median(median) AS lev FROM l WHERE qc_pass GROUP BY 1)
-SELECT date, o_orderpriority, qc_pass, round(median - lev, 6) AS deviation FROM l LEFT JOIN d USING (date)""")
+@query("""WITH p AS (SELECT DISTINCT o_orderdate::DATE AS date, (o_custkey % 7)::INT AS rgt, (o_custkey % 3)::VARCHAR AS beam FROM orders),
+r AS (SELECT date, rgt, beam, bool_and(o_orderstatus = 'F') AS ok FROM (SELECT *, o_orderdate::DATE AS date, (o_custkey % 7)::INT AS rgt, (o_custkey % 3)::VARCHAR AS beam FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1, 2, 3)
+SELECT p.*, ok AS reservoir_qc_pass FROM p LEFT JOIN r USING (date, rgt, beam)""")
 def left_join_reservoir_qc(spark, sf):
-    lev = _order_levels(spark, sf)
-    return lev.join(robust.level_by_date(lev), "date", "left").select("date", "o_orderpriority", "qc_pass", r6(F.col("median") - F.col("reservoir_level"), "deviation"))
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 7).cast("int").alias("rgt"), (F.col("o_custkey") % 3).cast("string").alias("beam"), "o_orderstatus")
+    r = o.where("o_orderstatus <> 'P'").groupBy("date", "rgt", "beam").agg(F.bool_and(F.col("o_orderstatus") == "F").alias("qc_pass"))
+    return matchups.with_reservoir_qc(o.drop("o_orderstatus").distinct(), r)
 
 
 @query("""WITH f AS (SELECT o_custkey, o_orderkey AS first_order, o_orderdate AS first_date FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1)
@@ -212,8 +214,7 @@ def anti_join_done(spark, sf):
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate::DATE IN (SELECT date FROM s)""")
 def semi_join_disagree(spark, sf):
     o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
-    s = o.groupBy("date").agg(F.count("*").alias("n"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("d")).where("n > 1 and d > 400000")
-    return o.join(s, "date", "left_semi").select("o_orderkey", "o_totalprice")
+    return robust.disagreeing(o, ["date"], "o_totalprice", 400000).select("o_orderkey", "o_totalprice")
 
 
 @query(f"""SELECT station_id, count(*) AS n, round(avg(km), 6) AS mean_km, round(min(km), 6) AS min_km FROM (
@@ -241,15 +242,15 @@ def radius_ladder(spark, sf):
     return rounded(matchups.radius_ladder(near, stations(spark, sf), list(RADII)), "median", "nmad", "std", "ci_low", "ci_high")
 
 
-@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, {GEO} FROM lineitem WHERE l_linenumber = 1),
+@query(f"""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, {GEO} FROM lineitem),
 d AS (SELECT p.*, n_name, station_id, {KM('lat', 'lon', 's_lat', 's_lon')} AS km FROM p CROSS JOIN (SELECT * FROM ({STATIONS}) WHERE station_id % 5 <> 4))
-SELECT l_orderkey, l_linenumber, n_name AS station, round(km, 6) AS station_km, round(station_id * 0.01::DOUBLE + l_linenumber, 6) AS level FROM d
+SELECT l_orderkey, l_linenumber, lat, n_name AS station, round(km, 6) AS station_km, round(station_id * 0.01::DOUBLE + l_linenumber, 6) AS level FROM d
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, lat, lon ORDER BY km, station_id) = 1""")
 def nearest_station(spark, sf):
     near = sorted(stations(spark, sf).collect(), key=lambda r: r["station_id"])  # a dimension table of 25 rows
     known = [(r["n_name"], r["s_lat"], r["s_lon"], None if r["station_id"] % 5 == 4 else r["station_id"] * 0.01, 0.02) for r in near]
-    p = items(spark, sf).where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "lat", "lon", F.col("l_linenumber").cast("double").alias("h")).distinct()
-    return joins.augmented(p, known, "h", "level").select("l_orderkey", "l_linenumber", "station", r6("station_km"), r6("level"))
+    p = items(spark, sf).select("l_orderkey", "l_linenumber", "lat", "lon", F.col("l_linenumber").cast("double").alias("h")).distinct()
+    return joins.augmented(p, known, "h", "level").select("l_orderkey", "l_linenumber", "lat", "station", r6("station_km"), r6("level"))
 
 
 RING = [(33.5, 46.8), (35.1, 46.9), (35.2, 47.7), (34.2, 47.2), (33.6, 47.8), (33.5, 46.8)]
@@ -276,22 +277,22 @@ def _grid(spark):
     return grids.lattice(spark, AXIS).withColumn("value", value)
 
 
-_SAMPLE = f"""WITH g AS ({_GRID}), p AS (SELECT DISTINCT l_orderkey, {GEO} FROM lineitem WHERE l_linenumber = 2),
+_SAMPLE = f"""WITH g AS ({_GRID}), p AS (SELECT DISTINCT l_orderkey, {GEO} FROM lineitem),
 f AS (SELECT *, (lat - 46.6::DOUBLE) / 0.05::DOUBLE AS fy, (lon - 33.2::DOUBLE) / 0.1::DOUBLE AS fx FROM p),"""
 
 
 @query(_SAMPLE + """c AS (SELECT *, CASE WHEN fy BETWEEN 0 AND 29 AND fx BETWEEN 0 AND 24 THEN greatest(0, least(floor(fy), 28)) END AS jy, CASE WHEN fy BETWEEN 0 AND 29 AND fx BETWEEN 0 AND 24 THEN greatest(0, least(floor(fx), 23)) END AS jx FROM f)
-SELECT l_orderkey, round(a.value * (1 - (fy - jy)) * (1 - (fx - jx)) + b.value * (1 - (fy - jy)) * (fx - jx) + d.value * (fy - jy) * (1 - (fx - jx)) + e.value * (fy - jy) * (fx - jx), 6) AS zeta
+SELECT l_orderkey, c.lat, round(a.value * (1 - (fy - jy)) * (1 - (fx - jx)) + b.value * (1 - (fy - jy)) * (fx - jx) + d.value * (fy - jy) * (1 - (fx - jx)) + e.value * (fy - jy) * (fx - jx), 6) AS zeta
 FROM c LEFT JOIN g a ON a.iy = jy AND a.ix = jx LEFT JOIN g b ON b.iy = jy AND b.ix = jx + 1 LEFT JOIN g d ON d.iy = jy + 1 AND d.ix = jx LEFT JOIN g e ON e.iy = jy + 1 AND e.ix = jx + 1""")
 def grid_bilinear(spark, sf):
-    p = items(spark, sf).where("l_linenumber = 2").select("l_orderkey", "lat", "lon").distinct()
-    return grids.sample_bilinear(p, _grid(spark), AXIS, "zeta").select("l_orderkey", r6("zeta"))
+    p = items(spark, sf).select("l_orderkey", "lat", "lon").distinct()
+    return grids.sample_bilinear(p, _grid(spark), AXIS, "zeta").select("l_orderkey", "lat", r6("zeta"))
 
 
-@query(_SAMPLE + "c AS (SELECT *, floor(fy + 0.5) AS jy, floor(fx + 0.5) AS jx FROM f) SELECT l_orderkey, round(g.value, 6) AS dem FROM c LEFT JOIN g ON g.iy = jy AND g.ix = jx")
+@query(_SAMPLE + "c AS (SELECT *, floor(fy + 0.5) AS jy, floor(fx + 0.5) AS jx FROM f) SELECT l_orderkey, c.lat, round(g.value, 6) AS dem FROM c LEFT JOIN g ON g.iy = jy AND g.ix = jx")
 def grid_nearest(spark, sf):
-    p = items(spark, sf).where("l_linenumber = 2").select("l_orderkey", "lat", "lon").distinct()
-    return grids.sample_nearest(p, _grid(spark), AXIS, "dem").select("l_orderkey", r6("dem"))
+    p = items(spark, sf).select("l_orderkey", "lat", "lon").distinct()
+    return grids.sample_nearest(p, _grid(spark), AXIS, "dem").select("l_orderkey", "lat", r6("dem"))
 
 
 @query(f"""WITH g AS ({_GRID}), n AS (SELECT y AS iy, x AS ix, (46.6::DOUBLE + y * 0.08::DOUBLE - 46.6::DOUBLE) / 0.05::DOUBLE AS fy, (33.2::DOUBLE + x * 0.08::DOUBLE - 33.2::DOUBLE) / 0.1::DOUBLE AS fx FROM generate_series(0, 18) a(y) CROSS JOIN generate_series(0, 30) b(x)),
@@ -373,19 +374,19 @@ def source_priority_dedupe(spark, sf):
     return rounded(readers.stitched(e, ("purchase", "signup", "click", "view")), "value")
 
 
-@query("""WITH m AS (SELECT day(o_orderdate) AS d, year(o_orderdate) AS y, month(o_orderdate) AS mo, round(sum(o_totalprice), 2) AS v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1, 2, 3)
+@query("""WITH m AS (SELECT day(o_orderdate) AS d, year(o_orderdate) AS y, month(o_orderdate) AS mo, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2, 3)
 SELECT make_date(y, mo, d) AS date, v AS value FROM m""")
 def melt_grid(spark, sf):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == 1996)
-    o = o.withColumn("m", F.format_string("m%02d", F.month("o_orderdate")))
+    o = table(spark, sf, "orders").withColumns({"m": F.format_string("m%02d", F.month("o_orderdate")), "year": F.year("o_orderdate")})
     months = [f"m{i:02d}" for i in range(1, 13)]
-    wide = o.groupBy(F.dayofmonth("o_orderdate").alias("day")).pivot("m", months).agg(F.round(F.sum("o_totalprice"), 2))
-    return readers.yearbook_grid(wide, 1996, months)
+    wide = o.groupBy("year", F.dayofmonth("o_orderdate").alias("day")).pivot("m", months).agg(F.round(F.sum("o_totalprice"), 2))
+    return readers.yearbook_grid(wide, F.col("year"), months)
 
 
 @query("""SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS f, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS o, round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS p FROM orders GROUP BY 1""")
 def pivot_radius(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.round(F.avg("o_totalprice"), 4)).toDF("o_orderpriority", "f", "o", "p")
+    out = robust.pivot_mean(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", ["F", "O", "P"])
+    return out.select("o_orderpriority", *(F.round(c, 4).alias(c.lower()) for c in ("F", "O", "P")))
 
 
 @query("""SELECT c_nationkey, min(o_orderdate::DATE) AS first, max(o_orderdate::DATE) AS last, count(*) AS n, array_to_string(list_sort(list(DISTINCT year(o_orderdate))), ',') AS years, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS sources,
@@ -407,14 +408,14 @@ SELECT o_orderkey, reason FROM u QUALIFY row_number() OVER (PARTITION BY o_order
 def beam_agreement_outliers(spark, sf):
     o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
     gross = o.where("o_totalprice > 480000").select("o_orderkey", F.lit("gross").alias("reason"), F.lit(1).alias("p"))
-    s = o.groupBy("date").agg(F.count("*").alias("n"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("d")).where("n > 1 and d > 450000")
-    beams = o.join(s, "date", "left_semi").select("o_orderkey", F.lit("beams").alias("reason"), F.lit(2).alias("p"))
+    beams = robust.disagreeing(o, ["date"], "o_totalprice", 450000).select("o_orderkey", F.lit("beams").alias("reason"), F.lit(2).alias("p"))
     return joins.first_per_key(robust.union_all(gross, beams), ["o_orderkey"], ["p"]).drop("p")
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(median(o_totalprice), 4) AS median, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")
 def monthly_levels(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.median("o_totalprice"), 4).alias("median"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    out = robust.monthly(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
+    return out.withColumns({c: F.round(c, 4) for c in ("median", "std")})
 
 
 _NAME = "CASE WHEN o_orderkey % 13 = 0 THEN 'broken_' || o_orderkey ELSE 'ATL13_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '_' || lpad((o_orderkey % 1387)::VARCHAR, 4, '0') || lpad((o_custkey % 27)::VARCHAR, 2, '0') || '01_007_0' || (o_orderkey % 3)::VARCHAR || '.h5' END"
@@ -429,17 +430,21 @@ def regexp_granule_parse(spark, sf):
     return readers.parsed(n).select("o_orderkey", "product", F.col("acquired").cast("timestamp_ntz").alias("acquired"), "rgt", "cycle", "release", "version")
 
 
-@query("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"k":"' || json_extract_string(props, '$.k') || '","n":"' || event_id || '"}' AS stats FROM events WHERE event_id % 10 = 0""")
+@query("""WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events),
+l AS (SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS status, min(ts) AS created_at, arg_max(k, {'a': ts, 'b': event_id}) FILTER (k IS NOT NULL) AS k, arg_max(value, {'a': ts, 'b': event_id}) FILTER (event_type = 'purchase') AS paid FROM e GROUP BY 1)
+SELECT user_id AS job_id, status, created_at, k, round(paid, 6) AS paid FROM l""")
 def json_stats_merge(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 10 = 0").withColumn("m", F.from_json("props", "map<string,string>"))
-    both = F.map_concat("m", F.create_map(F.lit("n"), F.col("event_id").cast("string")))
-    return e.select("event_id", F.col("m")["k"].try_cast("bigint").alias("k"), F.to_json(both).alias("stats"))
+    e = table(spark, sf, "events")
+    stats = F.map_filter(F.map_concat(F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>")), F.create_map(F.lit("paid"), F.when(F.col("event_type") == "purchase", F.col("value").cast("string")))), lambda _, v: v.isNotNull())
+    log = e.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("stage"), stats.alias("stats"))
+    return store.latest_jobs(log).select("job_id", "status", "created_at", F.try_element_at("stats", F.lit("k")).alias("k"), F.round(F.try_element_at("stats", F.lit("paid")).cast("double"), 6).alias("paid"))
 
 
-@query("""SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids, md5(string_agg(event_id::VARCHAR || ':' || event_type, ',' ORDER BY ts, event_id)) AS line FROM events GROUP BY 1 HAVING count(*) > 1""")
+@query("""WITH l AS (SELECT user_id, string_agg(round(value, 3)::VARCHAR || ' ' || (event_id % 90)::DOUBLE::VARCHAR, ', ' ORDER BY ts, round(value, 3), event_id % 90) AS line, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1)
+SELECT user_id, n, md5('LINESTRING(' || line || ')') AS line FROM l""")
 def ordered_line(spark, sf):
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.concat_ws(":", x["event_id"].cast("string"), x["event_type"])), ",")
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.md5(line).alias("line")).where("n > 1")
+    e = table(spark, sf, "events").select("user_id", "ts", F.round("value", 3).alias("lon"), (F.col("event_id") % 90).cast("double").alias("lat"))
+    return store.lines_of_passes(e, ["user_id"], time="ts").select("user_id", F.size("line").cast("bigint").alias("n"), F.md5("wkt").alias("line"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey + 1 END AS o_custkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
@@ -474,9 +479,11 @@ def _controls(spark, sf):
     return stations(spark, sf).join(table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("station_id")).agg((F.median("s_acctbal") / 1000).alias("v")), "station_id")
 
 
-@query(f"SELECT round(median(v), 6) AS constant, count(*) AS n FROM ({_CONTROL})")
+@query(f"SELECT round(median(v), 6) AS constant, 6::BIGINT AS n FROM ({_CONTROL})")
 def model_constant(spark, sf):
-    return _controls(spark, sf).agg(r6(F.median("v"), "constant"), F.count("*").alias("n"))
+    c = _controls(spark, sf).select(F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.col("v").alias("value"))
+    out = models.fit_all(c, grids.lattice(spark, grids.Axis(47.0, 34.0, 0.5, 0.5, 3, 2)), models=("constant",))
+    return out.groupBy(r6("value", "constant")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH q AS (SELECT l_returnflag, l_quantity AS x, l_discount AS y, l_extendedprice / 1000 AS v FROM lineitem),
@@ -500,13 +507,13 @@ def model_idw(spark, sf):
 
 @query()
 def loso_cv(spark, sf):
-    out = models.leave_one_out(_controls(spark, sf).where("station_id < 12").select(F.col("n_name").alias("slug"), F.col("s_lat").alias("lat"), (F.col("s_lon") + (F.col("station_id") % 3) * 0.1).alias("lon"), F.col("v").alias("value")))
+    out = models.leave_one_out(_controls(spark, sf).select(F.col("n_name").alias("slug"), F.col("s_lat").alias("lat"), (F.col("s_lon") + (F.col("station_id") % 3) * 0.1).alias("lon"), F.col("v").alias("value")))
     return models.cv_summary(out)
 
 
 @query()
 def bootstrap_median_ci(spark, sf):
-    return models.bootstrap_median(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", ["s_suppkey"], n=2000)
+    return models.bootstrap_median(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", ["s_suppkey"])
 
 
 @query(f"""WITH u AS (SELECT 'ATL13' AS product, count(*) AS n FROM lineitem UNION ALL SELECT 'ATL08', count(*) FROM orders UNION ALL SELECT 'ATL03', count(*) FROM events) SELECT product, n FROM u""")
@@ -571,13 +578,13 @@ def corrector_grid(spark, sf):
 _TILES = "SELECT y AS tile_lat, x AS tile_lon, r AS row, c AS col, CASE WHEN (r + c) % 7 <> 0 THEN y * 100.0::DOUBLE + x + r * 0.1::DOUBLE + c * 0.01::DOUBLE ELSE -99999.0 END AS value FROM generate_series(46, 47) a(y) CROSS JOIN generate_series(33, 34) b(x) CROSS JOIN generate_series(0, 9) d(r) CROSS JOIN generate_series(0, 9) e(c)"
 
 
-@query(f"""WITH t AS ({_TILES}), p AS (SELECT DISTINCT l_orderkey, lat, lon FROM (SELECT l_orderkey, l_linenumber, {GEO} FROM lineitem) WHERE l_linenumber = 3)
-SELECT l_orderkey, round(CASE WHEN abs(value) <= 10000 THEN value END, 6) AS dem FROM p LEFT JOIN t ON tile_lat = floor(lat) AND tile_lon = floor(lon) AND row = least(9, floor((floor(lat) + 1 - lat) * 10)) AND col = least(9, floor((lon - floor(lon)) * 10))""")
+@query(f"""WITH t AS ({_TILES}), p AS (SELECT DISTINCT l_orderkey, {GEO} FROM lineitem)
+SELECT l_orderkey, lat, round(CASE WHEN abs(value) <= 10000 THEN value END, 6) AS dem FROM p LEFT JOIN t ON tile_lat = floor(lat) AND tile_lon = floor(lon) AND row = least(9, floor((floor(lat) + 1 - lat) * 10)) AND col = least(9, floor((lon - floor(lon)) * 10))""")
 def tile_sample(spark, sf):
     n = spark.range(400).select((46 + (F.col("id") / 200).cast("int")).alias("tile_lat"), (33 + ((F.col("id") / 100).cast("int") % 2)).alias("tile_lon"), ((F.col("id") / 10).cast("int") % 10).alias("row"), (F.col("id") % 10).cast("int").alias("col"))
     value = F.when((F.col("row") + F.col("col")) % 7 != 0, F.col("tile_lat") * F.lit(100.0) + F.col("tile_lon") + F.col("row") * F.lit(0.1) + F.col("col") * F.lit(0.01)).otherwise(F.lit(-99999.0))
-    p = items(spark, sf).where("l_linenumber = 3").select("l_orderkey", "lat", "lon").distinct()
-    return grids.sample_tiles(p, n.withColumn("value", value), 10, "dem").select("l_orderkey", r6("dem"))
+    p = items(spark, sf).select("l_orderkey", "lat", "lon").distinct()
+    return grids.sample_tiles(p, n.withColumn("value", value), 10, "dem").select("l_orderkey", "lat", r6("dem"))
 
 
 @query("""WITH g AS (SELECT s_nationkey, s_suppkey % 3 AS k, count(*) AS n, median(s_acctbal) AS m FROM supplier GROUP BY 1, 2)

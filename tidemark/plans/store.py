@@ -21,6 +21,10 @@ KEYS = {
 }
 
 
+#: Versions of a table that stay.
+KEPT = 3
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where a run keeps its files."""
@@ -36,8 +40,8 @@ class Layout:
 
 
 class Store:
-    """Tables as Parquet versions: a merge writes a new version beside the old one and then moves the pointer, so a crash
-    leaves the old version whole and a replay gives the same table."""
+    """Tables as Parquet versions: a merge writes a new version beside the old one; the newest whole version counts, so a
+    crash leaves the old one in place and a replay gives the same table. The last KEPT versions stay for readers that began before."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,12 +53,15 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
-    def _current(self, table: str) -> str | None:
+    def _versions(self, table: str) -> list[str]:
+        """Whole versions, oldest first."""
         fs = self._fs()
         if not fs.exists(self._path(table)):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(self._path(table)) if fs.exists(self._path(table, s.getPath().getName(), "_SUCCESS")))
-        return done[-1] if done else None
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(self._path(table)) if fs.exists(self._path(table, s.getPath().getName(), "_SUCCESS")))
+
+    def _current(self, table: str) -> str | None:
+        return (self._versions(table) or [None])[-1]
 
     def read(self, table: str) -> DataFrame | None:
         now = self._current(table)
@@ -65,8 +72,8 @@ class Store:
         name = f"{int(now.split('-')[0]) + 1 if now else 0:012d}-{uuid.uuid4().hex[:8]}"
         w = df.write.mode("errorifexists")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{table}/{name}")
-        if now:
-            self._fs().delete(self._path(table, now), True)
+        for old in self._versions(table)[:-KEPT]:
+            self._fs().delete(self._path(table, old), True)
 
     def merge(self, table: str, new: DataFrame, keys: list[str] | None = None, *, keep_old_if_null: tuple[str, ...] = (), guard: Column | None = None, order: list | None = None, partition_by: tuple[str, ...] = ()) -> None:
         """Upsert by key; of several new rows with one key the first in `order` counts. Running it twice changes nothing."""
@@ -147,15 +154,57 @@ def counts_by_region(**tables: DataFrame) -> DataFrame:
     return out.groupBy("region").pivot("table", sorted(tables)).agg(F.sum("n")).na.fill(0)
 
 
-def job_errors(request: dict, products: tuple[str, ...] = ("ATL13", "ATL08", "ATL03")) -> list[str]:
-    """What is wrong with a job request."""
-    out = []
-    if request.get("product") not in products:
-        out.append("product")
-    if bool(request.get("region_slug")) == bool(request.get("region")):
-        out.append("one of region_slug and region")
-    if request.get("start") and request.get("end") and request["start"] > request["end"]:
-        out.append("start after end")
-    if request.get("batch_size") is not None and request["batch_size"] < 1:
-        out.append("batch_size")
+def with_lines(passes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """Passes with the line of their points; passes of under two points have none."""
+    return passes.join(lines_of_passes(points, keys), keys, "left")
+
+
+def job_statistics(points: DataFrame, passes: DataFrame | None = None) -> DataFrame:
+    """One row: points, water_segments, and of passes their number and how many are good."""
+    out = points.agg(F.count("*").alias("points"), F.count_if(F.coalesce("water_mask_pass", F.lit(False))).alias("water_segments"))
+    if passes is not None:
+        ok = F.count_if(F.coalesce("qc_pass", F.lit(False))).alias("pass_levels_qc")
+        out = out.crossJoin(passes.agg(F.count("*").alias("pass_levels"), ok))  # one row each
     return out
+
+
+def rows_by_granule(points: DataFrame, lookup: DataFrame) -> DataFrame:
+    """How many rows each granule gave, none included; `lookup` has granule, rgt and cycle."""
+    n = points.groupBy("rgt", "cycle").agg(F.count("*").alias("n_rows"))
+    return lookup.join(n, ["rgt", "cycle"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def spans(df: DataFrame, keys: list[str], date: str, **distinct: str) -> DataFrame:
+    """Rows, first and last date, and distinct counts n_<name> of columns in each group."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), *(F.countDistinct(c).alias(f"n_{n}") for n, c in distinct.items()))
+
+
+def raster_metadata(stations: DataFrame, value: str, **tags: str) -> DataFrame:
+    """One row of tags of a raster: what the caller names, and number, least and largest of the stations' values."""
+    return stations.agg(F.count(value).alias("n_stations"), F.min(value).alias("min_m"), F.max(value).alias("max_m")).withColumns({k: F.lit(v) for k, v in tags.items()})
+
+
+def mapped(df: DataFrame, column: str, table: dict, default=None, out: str | None = None) -> DataFrame:
+    """A column by a small table of configuration; what the table lacks has the default."""
+    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    return df.withColumn(out or column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(default)))
+
+
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    """Columns of a schema for a load: text is cast or becomes null, NaN becomes null, columns that are missing are null."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    def one(f):
+        if f.name not in df.columns:
+            return F.lit(None).cast(f.dataType)
+        c = F.col(f.name).try_cast(f.dataType)
+        return F.when(~F.isnan(c), c) if f.dataType.simpleString() in ("double", "float") else c
+
+    return df.select(*(one(f).alias(f.name) for f in _parse_datatype_string(schema)))
+
+
+def checked_samples(grid_nearest: DataFrame, source: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """Values read back from an export against those of its source at the same stations: difference and whether it holds."""
+    out = grid_nearest.select(*keys, F.col(value).alias("exported")).join(source.select(*keys, F.col(value).alias("original")), keys, "full")
+    d = F.abs(F.col("exported") - F.col("original"))
+    return out.withColumns({"difference": d, "ok": F.coalesce(d <= tolerance, F.col("exported").isNull() & F.col("original").isNull())})

@@ -13,9 +13,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.functions.exprs import granule_parts, masked, beam_label
 from tidemark.operators.joins import first_per_key
 
-# Names that gauge files use, in three languages.
-TIME_NAMES = ("datetime", "date", "time", "timestamp", "дата", "час", "время")
-STAGE_NAMES = ("stage_m", "stage", "level", "water_level", "рівень", "уровень", "h")
+# Names that gauge files use, in three languages, by precedence.
+TIME_NAMES = ("datetime", "date", "timestamp", "time", "дата", "датачас")
+STAGE_NAMES = ("stage", "level", "h", "h_mean", "рівень", "уровень", "hcm", "stage_cm")
 SOURCE_ORDER = ("yearbook", "yearbook_grid", "reservoir", "versioned")
 
 
@@ -69,12 +69,33 @@ def normalised(raw: DataFrame, names: dict[str, str], schema: T.StructType, *, m
     return raw.select(*(pick(f).alias(f.name) for f in schema))
 
 
+def seed_or_union(seed: DataFrame, *others: DataFrame, least: int = 50) -> DataFrame:
+    """The seed list of names, or with fewer than `least` of them its union with the other lists."""
+    names = seed.select("granule").distinct()
+    if names.limit(least).count() >= least:
+        return names
+    for o in others:
+        names = names.union(o.select("granule"))
+    return names.distinct()
+
+
+def candidate_granules(seed: DataFrame, remote: DataFrame, product: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Seed and remote names of a product in a range of dates, oldest first, each once."""
+    return select_granules(seed.select("granule").union(remote.select("granule")), start=start, end=end, product=product)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """All batch files of a run; columns that a batch lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def _alias(df: DataFrame, names: tuple[str, ...]) -> str:
-    low = {c.lower(): c for c in df.columns}
+def alias(df: DataFrame, names: tuple[str, ...]) -> str:
+    """The column of `df` that goes by the first of `names`, whatever its case and blanks around it."""
+    low = {c.lower().strip(): c for c in df.columns}
     for n in names:
         if n in low:
             return low[n]
@@ -83,7 +104,7 @@ def _alias(df: DataFrame, names: tuple[str, ...]) -> str:
 
 def gauge_series(raw: DataFrame, station: str, *, zone: str = "UTC", scale: float = 1.0, zero: float | None = None) -> DataFrame:
     """station_id, datetime (UTC), stage_m and wse_m from a table whose columns go by many names; rows that do not read are dropped."""
-    t, v = _alias(raw, TIME_NAMES), _alias(raw, STAGE_NAMES)
+    t, v = alias(raw, TIME_NAMES), alias(raw, STAGE_NAMES)
     at = F.to_utc_timestamp(F.try_to_timestamp(F.col(t).cast("string")), zone)
     out = raw.select(F.lit(station).alias("station_id"), at.alias("datetime"), (F.col(v).try_cast("double") * scale).alias("stage_m"))
     return out.where("datetime is not null and stage_m is not null and not isnan(stage_m)").withColumn("wse_m", F.col("stage_m") + F.lit(zero).cast("double"))
@@ -100,8 +121,8 @@ def term_readings(daily: DataFrame, *, zone: str, hours: dict[str, int], scale:
 
 
 def yearbook_grid(wide: DataFrame, year: int | Column, months: list[str], day: str = "day") -> DataFrame:
-    """A table of days by months as (date, value); days that a month does not have are dropped."""
-    long = wide.unpivot([day], months, "_m", "value").withColumn("_m", F.regexp_extract("_m", r"(\d+)", 1).cast("int"))
+    """A table of days by months as (date, value), of one year or with a column for it; days that a month does not have are dropped."""
+    long = wide.unpivot([c for c in wide.columns if c not in months], months, "_m", "value").withColumn("_m", F.regexp_extract("_m", r"(\d+)", 1).cast("int"))
     y = F.lit(year) if isinstance(year, int) else year
     text = F.format_string("%04d-%02d-%02d", y.cast("int"), F.col("_m"), F.col(day).cast("int"))
     return long.select(F.try_to_date(text, "yyyy-MM-dd").alias("date"), F.col("value").try_cast("double").alias("value")).where("date is not null and value is not null")
@@ -175,7 +196,7 @@ def region_registry(*tables: DataFrame) -> DataFrame:
 def region_errors(regions: DataFrame) -> DataFrame:
     """(slug, error) of each broken rule: kind, vertical, an area, and a box in order."""
     rules = F.array(
-        F.when(~F.coalesce(F.col("kind").isin("reservoir", "lake", "river", "land"), F.lit(False)), "kind"),
+        F.when(~F.coalesce(F.col("kind").isin("reservoir", "lake", "river"), F.lit(False)), "kind"),
         F.when(~F.coalesce(F.col("vertical").isin("egm2008", "egg2015"), F.lit(False)), "vertical"),
         F.when(F.col("bbox").isNull() & F.col("polygon").isNull(), "area"),
         F.when(F.col("bbox").isNotNull() & ((F.size("bbox") != 4) | (F.get("bbox", 0) >= F.get("bbox", 2)) | (F.get("bbox", 1) >= F.get("bbox", 3))), "bbox"),
