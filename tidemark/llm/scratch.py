@@ -8,11 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only if unset on a local master (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
@@ -30,6 +34,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries in this block remove their shuffle files when they end; a lost one is computed anew."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet; removed one by one, or when the session ends."""
 
@@ -40,10 +55,11 @@ class Scratch:
 
     def save(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.root}/{self.n}", self.n + 1
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):  # a table is computed once, so nothing reads its shuffles again
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        release(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
-        release(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
