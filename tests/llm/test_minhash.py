@@ -65,7 +65,6 @@ def test_equals_brute_force(spark):
 
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "SALTS", 2)
     rows = planted()
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(d).collect()} == {k: v[1] for k, v in brute(rows).items()}
@@ -126,3 +125,12 @@ def test_route_keys(spark):
         d = spark.createDataFrame([(k,) for k in route_keys(n)], "k int").repartition(n, "k")
         parts = d.selectExpr("k", "spark_partition_id() as p").collect()
         assert {r["k"]: r["p"] for r in parts} == {k: i for i, k in enumerate(route_keys(n))}
+
+
+def test_texts_that_defeat_power_of_two_moduli(spark):
+    pattern = [bin(i).count("1") % 2 for i in range(4096)]
+    rows = [(flip, " ".join("ab"[b ^ flip] + (f"{i}" if i % 2 else "") for i, b in enumerate(pattern))) for flip in (0, 1)]
+    rows += [(2 + flip, " ".join("ab"[b ^ flip] for b in pattern)) for flip in (0, 1)] + [(5, "  " + rows[0][1].replace(" ", "\n ").upper() + "\t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(d).collect()}
+    assert got == brute(rows) and got[0][1] != got[1][1] and got[5][1] == 0

@@ -89,3 +89,20 @@ def test_many_partitions_and_chunks(spark, monkeypatch):
 def test_empty(spark):
     d = frame(spark, planted(1)).limit(0)
     assert dedup_bytes(d).count() == 0 and dedup_windows(d).count() == 0
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_texts_that_defeat_power_of_two_moduli(spark):
+    """Texts of two tokens by a Thue-Morse pattern and its complement collide in any polynomial hash modulo 2**64."""
+    t = thue_morse(1024)
+    texts = ["".join(("xa", "xb")[b ^ flip] for b in t[:512]) for flip in (0, 1)] + ["".join(f"{'ab'[b ^ flip]}{'cd'[i % 2]}" for i, b in enumerate(t)) for flip in (0, 1)]
+    rows = list(enumerate(texts))
+    out = dedup_bytes(frame(spark, rows)).collect()
+    assert ordered((r["doc_id"], r["n_tokens"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == ordered(brute_bytes(rows, 200))
+    t = thue_morse(4096)
+    rows = [(flip, " ".join(f"{'ab'[b ^ flip]}" if i % 2 else f"w{i}" for i, b in enumerate(t))) for flip in (0, 1)] + [(2 + flip, " ".join(f"{'ab'[b ^ flip]}" for b in t)) for flip in (0, 1)]
+    out = dedup_windows(frame(spark, rows)).collect()
+    assert ordered((r["doc_id"], r["n_tokens"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == ordered(brute_words(rows, 50))

@@ -7,10 +7,15 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 U = np.uint64
+#: Odd multiplier of mix steps.
 BASE = 0x9E3779B97F4A7C15
+#: Rolling hashes are polynomials modulo this prime, at a point drawn once.
+PRIME = (1 << 61) - 1
+POINT = int(np.random.default_rng(20241127).integers(1 << 60, PRIME))
 TOP = U(0xFFFFFFFFFFFFFFFF)
 #: A random odd value for each byte.
 BYTE = np.random.default_rng(20240601).integers(0, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -18,18 +23,42 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-_pow = {"n": 0}
+_pow: dict[str, np.ndarray] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, of values below 2**64; in place."""
+    high = x >> U(61)
+    x &= U(PRIME)
+    x += high
+    np.subtract(x, U(PRIME), out=x, where=x >= U(PRIME))
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it, by halves of 31 bits."""
+    ah, al, bh, bl = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    mid = al * bh
+    mid += ah * bl
+    ah *= bh
+    ah <<= U(1)
+    ah += mid >> U(30)
+    mid &= U(0x3FFFFFFF)
+    mid <<= U(31)
+    ah += mid
+    al *= bl
+    ah += _folded(al)
+    return _folded(ah)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i < n, modulo 2**64."""
-    if _pow["n"] < n:
-        size = max(n, 2 * _pow["n"], 1 << 16)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            x = np.full(size, U(base))
-            x[0] = 1
-            _pow[name] = np.cumprod(x)
-        _pow["n"] = size
+    """POINT**i and its inverse for i < n, modulo PRIME."""
+    if not _pow or len(_pow["up"]) < n:
+        for name, base in (("up", POINT), ("down", pow(POINT, -1, PRIME))):
+            x = np.ones(1, U)
+            while len(x) < max(n, 1 << 16):
+                x = np.concatenate([x, times(x, np.full(len(x), pow(base, len(x), PRIME), U))])
+            _pow[name] = x
     return _pow["up"], _pow["down"]
 
 
@@ -43,17 +72,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums; hashed() takes the hash of any window from them."""
+    """Polynomial prefix sums modulo PRIME; hashed() takes the hash of any window from them."""
     up, _ = powers(len(tokens) + 1)
     out = np.zeros(len(tokens) + 1, U)
-    np.cumsum(tokens * up[: len(tokens)], out=out[1:])
+    terms = times(_folded(tokens.copy()), up[: len(tokens)])
+    low = np.cumsum(terms & U(0x7FFFFFFF))  # halves of 31 bits leave room for 2**33 terms
+    terms >>= U(31)
+    high = _folded(np.cumsum(terms, out=terms))
+    out[1:] = _folded(times(high, np.full(1, 1 << 31, U)) + _folded(low))
     return out
 
 
 def hashed(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hash of tokens[start:stop], the same wherever it lies."""
+    """Rabin-Karp hash of tokens[start:stop], the same wherever it lies: two different windows of n tokens are equal for n of 2**61 points at most."""
     _, down = powers(len(p))
-    return mix((p[stop] - p[start]) * down[start])
+    return mix(times(_folded(p[stop] + (U(PRIME) - p[start])), down[start]))
+
+
+def digests(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each row's bytes."""
+    data = memoryview(np.ascontiguousarray(raw))
+    both = [xxhash.xxh3_128_intdigest(data[off[i] : off[i + 1]]) for i in range(len(off) - 1)]
+    return np.array([[x >> 64, x & 0xFFFFFFFFFFFFFFFF] for x in both], U).reshape(-1, 2)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,10 +4,10 @@ Each permutation of the 5-word shingles gives its minimum and its maximum, so 56
 112 values; 28 bands of two minima and two maxima, all of different permutations, find candidates. A pair at
 similarity 0.75 shares no band with probability (1 - 0.75**4)**28, below 3e-5. Every link is confirmed on full sets.
 
-Documents of equal words are one node. In a first round each node meets the least node of its bands, in groups that
-are split by salt. Links make components; a second round takes only band buckets that still hold more than one
-component and compares, in bounded blocks, all their members across components. So no link between different texts is
-lost, and no group emits all its pairs.
+Documents of equal words (by a 128-bit hash) are one node. In a first round each node meets the least node of its bands,
+in groups of about BLOCK nodes. Links make components; a second round takes only band buckets that still hold more than one
+component and compares, in bounded blocks, all their members across components. So of the pairs that share a band no
+link is lost, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemark.llm.scratch import Scratch, partitions
 
 SIZE, PERCENT = 5, 75
 BANDS, PERMUTATIONS = 28, 56
-SALTS, BLOCK = 32, 256
+BLOCK = 256
 CHUNK = 1 << 20
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -32,7 +32,7 @@ _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U)
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int):
-    """For each row: its distinct shingle hashes, sorted; in one array with offsets. Also two hashes of the words."""
+    """For each row its distinct shingle hashes, sorted, and its number of words."""
     tok, _, _, first = k.word_tokens(k.LOWER[raw], off)
     p = k.prefix(tok)
     n = np.diff(first)
@@ -41,8 +41,20 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int):
     at = np.searchsorted(whole, first)
     all_of = k.hashed(p, first[:-1], first[1:])
     sets = [np.unique(h[at[i] : at[i + 1]]) if n[i] >= size else (all_of[i : i + 1] if n[i] else h[:0]) for i in range(len(n))]
-    other = k.hashed(k.prefix(k.mix(tok ^ U(0x2545F4914F6CDD1D))), first[:-1], first[1:])
-    return sets, n, all_of + n.astype(U), other
+    return sets, n
+
+
+def word_digests(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's words, lower-cased and joined by single spaces."""
+    starts, _, first = k.words_of(raw, off)
+    keep, later = ~k.SPACE[raw], np.ones(len(starts), bool)
+    later[first[:-1][first[:-1] < first[1:]]] = False
+    keep[starts[later] - 1] = True
+    left = np.concatenate([[0], np.cumsum(keep)])
+    inside = k.LOWER[raw[keep]]
+    inside[k.SPACE[inside]] = 32
+    both = k.digests(inside, left[off])
+    return both[:, 0], both[:, 1]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -69,7 +81,8 @@ def _sign(size: int):
         for batch in batches:
             raw, off = k.texts_of(batch.column(1))
             for lo, hi in k.chunks(off, CHUNK):
-                sets, _, k1, k2 = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                part = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                sets, (k1, k2) = shingles(*part, size)[0], word_digests(*part)
                 some = np.array([len(s) > 0 for s in sets], bool)
                 bands = signatures([s for s in sets if len(s)]) if some.any() else np.zeros((0, BANDS), U)
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
@@ -183,7 +196,10 @@ def near_duplicates(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     least = scratch.save(chiefs.groupBy("b").agg(F.min("doc_id").alias("m"), F.count("*").alias("n")).where("n > 1"))
     buckets = scratch.save(lookup(chiefs, least, ["b"], "n"))
 
-    pairs = buckets.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").withColumn("g", F.xxhash64("m", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
+    pairs = scratch.save(buckets.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id"))
+    sizes = scratch.save(pairs.groupBy("m").agg(F.count("*").alias("size")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK))
+    pairs = lookup(pairs, sizes.withColumn("held", F.col("size")), ["m"], "held").withColumn("g", F.xxhash64("m", salt))
     members = pairs.select("g", "doc_id").unionByName(pairs.select("g", F.col("m").alias("doc_id")).distinct()).withColumn("comp", F.col("doc_id"))
     edges = _confirm(scratch, texts, members, size, percent)
     comps = components(scratch, edges)
