@@ -48,3 +48,11 @@ def test_equals_brute_force(spark, monkeypatch, block):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert similar_vectors(df).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows of one id may hold different vectors; each keeps its own links."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0), (3, [1.0, 0.001], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in similar_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == brute(rows) and (3, 2, 1, False) in got

@@ -5,8 +5,8 @@ one of TABLES tables. A pair at cosine 0.98 (distance 0.2) shares a cell with pr
 misses all tables with probability below 2e-5. Cosines are then taken exactly, in double precision.
 
 Equal vectors are one node with a count. A bucket of any size is dealt into blocks of at most about BLOCK nodes, and
-each pair of blocks is compared by one matrix product; a pair counts only in the first table whose key it shares, so
-link counts need no shuffle of pairs.
+each pair of blocks is compared by matrix products of TILE rows; a pair counts only in the first table whose key it
+shares, so link counts need no shuffle of pairs. A node of a bucket travels once for each BLOCK others.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tidemark.llm.kernels import U
 from tidemark.llm.scratch import Scratch, partitions
 
 THRESHOLD = 0.98
-TABLES, DEPTH, WIDTH, BLOCK = 24, 12, 2.0, 512
+TABLES, DEPTH, WIDTH, BLOCK, TILE = 24, 12, 2.0, 4096, 256
 
 
 def _directions(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +67,25 @@ def _hash(batches):
 
 
 def block_links(x: np.ndarray, keys: np.ndarray, table: int, side: np.ndarray, across: bool, threshold: float):
-    """Pairs (i, j), i < j, at `threshold` or more that share no key of an earlier table."""
-    cos = x @ x.T
-    near = np.triu(cos >= threshold - 1e-9, 1)
-    if across:
-        near &= side[:, None] != side[None, :]
-    i, j = np.nonzero(near)
-    sure = cos[i, j] >= threshold + 1e-9
-    unsure = np.flatnonzero(~sure)
-    sure[unsure] = (x[i[unsure]] * x[j[unsure]]).sum(axis=1) >= threshold
-    i, j = i[sure], j[sure]
-    if table and len(i):
-        new = np.ones(len(i), bool)
-        for lo in range(0, len(i), 100_000):
-            s = slice(lo, lo + 100_000)
-            new[s] = ~(keys[i[s], :table] == keys[j[s], :table]).any(axis=1)
-        i, j = i[new], j[new]
-    return i, j
+    """Pairs (i, j), i < j, at `threshold` or more that share no key of an earlier table, for each tile of rows i."""
+    for lo in range(0, len(x), TILE):
+        cos = x[lo : lo + TILE] @ x[lo:].T
+        near = np.triu(cos >= threshold - 1e-9, 1)
+        if across:
+            near &= side[lo : lo + TILE, None] != side[None, lo:]
+        i, j = np.nonzero(near)
+        sure = cos[i, j] >= threshold + 1e-9
+        i, j = i + lo, j + lo
+        unsure = np.flatnonzero(~sure)
+        sure[unsure] = (x[i[unsure]] * x[j[unsure]]).sum(axis=1) >= threshold
+        i, j = i[sure], j[sure]
+        if table and len(i):
+            new = np.ones(len(i), bool)
+            for at in range(0, len(i), 100_000):
+                s = slice(at, at + 100_000)
+                new[s] = ~(keys[i[s], :table] == keys[j[s], :table]).any(axis=1)
+            i, j = i[new], j[new]
+        yield i, j
 
 
 def _compare(threshold: float):
@@ -97,15 +99,19 @@ def _compare(threshold: float):
         size = np.concatenate(size)
         if len(rep) < 2 or (size != size[0]).any():
             return []
-        i, j = block_links(unit(np.concatenate(flat).reshape(len(rep), -1)), keys, int(get("t")[0]), side, bool(get("across")[0]), threshold)
-        links = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
-        out = [(int(rep[a]), None, int(links[a])) for a in np.flatnonzero(links)]
-        comp, cut = np.arange(len(rep)), np.searchsorted(i, np.arange(len(rep) + 1))
-        for a in np.unique(i):
-            for b in j[cut[a] : cut[a + 1]]:
-                if comp[b] != comp[a]:
-                    out.append((int(rep[a]), int(rep[b]), None))
-                    comp[comp == comp[b]] = comp[a]
+        links, comp, out = np.zeros(len(rep)), np.arange(len(rep)), []
+        for i, j in block_links(unit(np.concatenate(flat).reshape(len(rep), -1)), keys, int(get("t")[0]), side, bool(get("across")[0]), threshold):
+            links += np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
+            if not len(i):
+                continue
+            rows, cut = np.unique(i, return_index=True)
+            for a, js in zip(rows, np.split(j, cut[1:]), strict=True):
+                labels, one = np.unique(comp[js], return_index=True)
+                for label, b in zip(labels, js[one], strict=True):
+                    if label != comp[a]:
+                        out.append((int(rep[a]), int(rep[b]), None))
+                        comp[comp == label] = comp[a]
+        out += [(int(rep[a]), None, int(links[a])) for a in np.flatnonzero(links)]
         return out
 
     def run(batches):
@@ -137,8 +143,8 @@ def similar_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     """vec_id, n_links, component_id and kept for each row.
 
     Only vectors of equal, non-null labels and equal lengths are compared. Vectors that are null, empty or zero or hold
-    null or non-finite components, and rows without id, link with nothing. Each repeated row counts. An empty table gives
-    an empty result. Other columns are not read."""
+    null or non-finite components, and rows without id, link with nothing. Each repeated row counts, and rows of one id
+    with different vectors are linked each by its own. An empty table gives an empty result. Other columns are not read."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pstable")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -146,9 +152,9 @@ def similar_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     live = rows.where("good").withColumns({"e1": F.xxhash64("label", "embedding"), "e2": F.xxhash64("embedding", "label", F.lit(7))})
-    same = scratch.save(live.groupBy("e1", "e2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    chiefs = live.join(same.select("e1", "e2", F.col("rep").alias("vec_id"), "n"), ["e1", "e2", "vec_id"]).dropDuplicates(["vec_id"])
-    nodes = scratch.save(chiefs.select("vec_id", "label", "embedding", "n").mapInArrow(_hash, "rep bigint, n bigint, embedding array<double>, keys array<bigint>"))
+    same = scratch.save(live.groupBy("e1", "e2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    chiefs = live.join(same.select("e1", "e2", F.col("least").alias("vec_id"), "n", "rep"), ["e1", "e2", "vec_id"]).dropDuplicates(["rep"])
+    nodes = scratch.save(chiefs.select("rep", "label", "embedding", "n").mapInArrow(_hash, "rep bigint, n bigint, embedding array<double>, keys array<bigint>"))
     cells = nodes.select("rep", F.posexplode("keys").alias("t", "b"))
     full = scratch.save(cells.groupBy("b").agg(F.count("*").alias("size")).where("size > 1"))
     at = lookup(cells, full.withColumn("held", F.col("size")), ["b"], "held")
@@ -158,10 +164,11 @@ def similar_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     groups = at.withColumn("p", F.explode(pairs)).select(F.xxhash64("b", "p.i", "p.j").alias("g"), "rep", "t", i.alias("side"), (F.col("p.i") != F.col("p.j")).alias("across"))
     held = groups.join(nodes, "rep").select("g", "rep", "t", "side", "across", "n", "embedding", "keys")
     found = scratch.save(held.repartition(partitions(spark), "g").sortWithinPartitions("g", "rep").mapInArrow(_compare(threshold), "u bigint, v bigint, links bigint"))
-    comps = components(scratch, found.where("v is not null").select("u", "v"))
+    comps = components(scratch, found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
+    least = scratch.save(comps.join(same.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
     links = found.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    named = same.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    named = scratch.save(named.select("e1", "e2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    named = same.join(lookup(comps, least, ["component"], "size").drop("component"), "rep", "left").join(links, "rep", "left")
+    named = scratch.save(named.select("e1", "e2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     out = lookup(live.select("vec_id", "e1", "e2"), named, ["e1", "e2"], "n").select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
