@@ -1,9 +1,12 @@
+import gzip
 import hashlib
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
 from tidemark.llm import warc
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.warc import archive, loser_tree, url_key
 
 
@@ -44,6 +47,36 @@ def test_round_trip(spark):
     assert order == sorted(order) and [o[1] for o in order] == sorted(o[1] for o in order)
 
 
+def test_offsets_and_ids(spark, tmp_path):
+    """A record can be read by its offset and length alone; record ids are unique and references point to records."""
+    rows = [(i % 40, f"http://h{i % 7}.org/{i}", f"page {i % 13} " * (i % 60)) for i in range(90)]
+    path = str(tmp_path / "a")
+    index = archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path).collect()
+    ids, refs = set(), set()
+    for r in index:
+        data = (tmp_path / "a" / r["file"]).read_bytes()[r["offset"] : r["offset"] + r["length"]]
+        head, http, payload = warc.parsed(zlib.decompress(data, 31))
+        assert head["warc-target-uri"] == r["url"] and head["warc-type"] == r["record_type"] and int(http["content-length"]) == r["payload_bytes"]
+        assert r["record_type"] == "revisit" or hashlib.sha256(payload).hexdigest() == r["payload_digest"]
+        assert head["warc-record-id"] not in ids
+        ids.add(head["warc-record-id"])
+        refs.add(head.get("warc-refers-to", head["warc-record-id"]))
+    assert len(ids) == len(index) == 90 and refs <= ids
+    first = next((tmp_path / "a").glob("part-*"))
+    assert gzip.decompress(first.read_bytes()).startswith(b"WARC/1.1")
+
+
+def test_small_archives_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    rows = [(i, f"http://h{i % 3}.org/{i % 11}", "x" * 50) for i in range(300)]
+    scratch = Scratch(spark, "t")
+    path = f"{scratch.root}/a"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, scratch, run_bytes=1000)
+    out = warc.read_index(spark, path, scratch).withColumn("part", F.spark_partition_id()).collect()
+    order = [(r["urlkey"], r["date"], r["page_id"]) for r in out]
+    assert len(out) == 300 and order == sorted(order) and len({r["part"] for r in out}) > 10
+
+
 def test_empty(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert warc.LEAST_BYTES == 100

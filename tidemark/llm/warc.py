@@ -1,17 +1,18 @@
 """Operator 3: WARC archives with revisit records, and a merged capture index.
 
-Spark's text writer writes the archives, so any file system that Spark reaches will do: a record is one value, and the
-line separator is the blank lines that end a record. Each partition is a locally sorted run of captures. Reading parses
-records by their lengths, streaming. Index lines are then range-partitioned by URL key, time and page; in each range
-the runs, found in the incoming rows by their order, meet in a k-way merge by a loser tree.
+A task sorts its captures by URL key and time and packs each record as a gzip member of its own, so an index entry's
+offset and length are enough to read it. Archives are bounded blocks of bytes that Spark's text writer writes, so any
+file system that Spark reaches will do. Reading parses the members one by one. Each archive's captures are a sorted run;
+the index is range-partitioned by URL key, time and page into ranges of bounded size, and in each range the pieces of
+the runs meet in a k-way merge by a loser tree.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,10 @@ from tidemark.llm.scratch import Scratch, partitions
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 100
 EOL, GAP = "\r\n", "\r\n\r\n"
+#: Stands behind each archive; readers of gzip take zero bytes for padding.
+PAD = "\0"
+#: Bytes of records in an archive, about, and index entries in a range of the merge, about.
+RUN_BYTES, RANGE_ROWS = 32 << 20, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "urlkey string, date string, page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, file string, offset bigint, length bigint"
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -45,12 +50,54 @@ def revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return again.where("page_id is null or page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
-def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes: int = 32 << 20) -> None:
-    """Writes gzipped archives of about `run_bytes` of records; `pages` has page_id, url and html, and optionally date.
-
-    Null html is an empty payload, null url an empty one. A null page_id is written without number and never referred to."""
+def _id(page, digest: str, nth: int) -> str:
+    """A record's id; rows of one page and payload are told apart by their number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest} {nth}')}>"
+
+
+def _record(kind: str, head: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record as a gzip member."""
+    lines = [("WARC-Type", kind), *head, ("Content-Length", str(len(block)))]
+    text = "WARC/1.1" + EOL + "".join(f"{name}: {value}{EOL}" for name, value in lines) + EOL
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(text.encode() + block + GAP.encode()) + pack.flush()
+
+
+def _pack(run_bytes: int):
+    """Archives of about `run_bytes` of records from the sorted rows of a partition."""
+
+    def run(batches):
+        seen: dict[tuple, int] = {}
+        out, size = [], 0
+        for batch in batches:
+            for page, url, html, date, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not out:
+                    out.append(_record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'info {page} {digest} {len(seen)}')}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], f"format: WARC File Format 1.1{EOL}".encode()))
+                nth = seen[page, digest] = seen.get((page, digest), -1) + 1
+                payload = html.encode()
+                http = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: {len(payload)}{GAP}".encode()
+                head = [("WARC-Record-ID", _id(page, digest, nth)), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"\s+", "%20", url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", "" if page is None else str(page))]
+                if refers_to is not None:
+                    head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(refers_to, digest, 0)), ("X-Refers-To-Page-ID", str(refers_to))]
+                head.append(("Content-Type", "application/http; msgtype=response"))
+                out.append(_record("response" if refers_to is None else "revisit", head, http + (payload if refers_to is None else b"")))
+                size += len(payload)
+                if size >= run_bytes:
+                    yield pa.record_batch([pa.array([b"".join(out)])], names=["archive"])
+                    out, size = [], 0
+        if out:
+            yield pa.record_batch([pa.array([b"".join(out)])], names=["archive"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes: int = RUN_BYTES) -> None:
+    """Writes archives of about `run_bytes` of records; `pages` has page_id, url and html, and optionally date.
+
+    Null html is an empty payload, null url an empty one, a null date the epoch. A null page_id is written without number
+    and never referred to."""
     text = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), text.alias("html"), *(["date"] if "date" in pages.columns else []))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), text.alias("html"), *(["date"] if "date" in pages.columns else []))
     rows = rows.withColumns({"bytes": F.octet_length("html"), "digest": F.sha2("html", 256)})
     if "date" not in rows.columns:
         rows = rows.withColumn("date", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))))
@@ -60,67 +107,65 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes:
     n = int(max(partitions(pages.sparkSession), total // run_bytes + 1))
     both = F.xxhash64("page_id", "digest").alias("both")
     rows = rows.select("*", both).repartition(n, "both").join(marks.select(both, "refers_to"), "both", "left")  # payloads move once
-    uri = F.regexp_replace("url", r"[\s]+", "%20")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(GAP))
-    again = F.col("refers_to").isNotNull()
-    block = F.when(again, http).otherwise(F.concat(http, "html"))
-    record = F.concat(
-        F.lit(f"WARC/1.1{EOL}WARC-Type: "), F.when(again, "revisit").otherwise("response"),
-        F.lit(f"{EOL}WARC-Record-ID: "), urn(F.col("page_id")),
-        F.lit(f"{EOL}WARC-Date: "), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        F.lit(f"{EOL}WARC-Target-URI: "), uri,
-        F.lit(f"{EOL}WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(again, F.concat(F.lit(f"{EOL}WARC-Profile: {PROFILE}{EOL}WARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(""),
-        F.lit(f"{EOL}Content-Type: application/http; msgtype=response{EOL}Content-Length: "), F.octet_length(block).cast("string"), F.lit(GAP), block,
-    )
     host = F.reverse(F.split(F.lower(F.regexp_extract("url", r"//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)), r"\."))
     run = rows.withColumn("host", F.array_join(host, ",")).sortWithinPartitions("host", F.lower("url"), "date", "page_id")
-    run.select(record.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").text(path)
+    run = run.select("page_id", "url", "html", F.coalesce(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("date"), "digest", "refers_to")
+    run.mapInArrow(_pack(run_bytes), "archive binary").select(F.col("archive").cast("string").alias("value")).write.option("lineSep", PAD).text(path)
 
 
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], dict[str, str], bytes, int, int]]:
-    """Headers, HTTP headers, payload, offset and length of each record, by the lengths that the headers give."""
-    at = 0
-    while line := stream.readline():
-        if line.strip() == b"":
-            at += len(line)
+def members(data) -> Iterator[tuple[bytes, int, int]]:
+    """Content, offset and length of each gzip member."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if view[at] == 0:
+            at += 1
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record at {at}")
-        head, size = {}, len(line)
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            head[name.strip().lower()], size = value.strip(), size + len(line)
-        block = stream.read(int(head["content-length"]))
-        top, _, payload = block.partition(b"\r\n\r\n")
-        http = dict((a.strip().lower(), b.strip()) for a, _, b in (x.partition(":") for x in top.decode().split("\r\n")[1:]))
-        size += len(line) + len(block)
-        yield head, http, payload, at, size
-        at += size
-
-
-def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+        unpack, start, out = zlib.decompressobj(31), at, []
+        while not unpack.eof:
+            part = view[at : at + (1 << 16)]
+            if not len(part):
+                raise ValueError(f"the member at {start} ends early")
+            out.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
+        yield b"".join(out), start, at - start
+
+
+def parsed(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Headers, HTTP headers and payload of a record, by the length that its headers give."""
+    top, _, rest = record.partition(b"\r\n\r\n")
+    lines = top.decode().split(EOL)
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a record: {lines[0][:40]}")
+    fields = lambda part: {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in part)}
+    head = fields(lines[1:])
+    block = rest[: int(head["content-length"])]
+    if head["warc-type"] == "warcinfo":
+        return head, {}, block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    return head, fields(http.decode().split(EOL)[1:]), payload
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text else None
 
 
 def _read(batches):
+    """The captures of each archive, sorted."""
     for batch in batches:
         for i in range(batch.num_rows):
-            file, out = batch.column(0)[i].as_py(), []
-            data = batch.column(1)[i].as_buffer()
-            with io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(data))) as stream:
-                for head, http, payload, at, size in records(stream):
-                    digest, n = head["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
-                    if head["warc-type"] == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"{file}: the record at {at} is damaged")
-                    url = head.get("warc-target-uri", "")
-                    out.append((url_key(url), head["warc-date"], _page(head["warc-record-id"]), url, head["warc-type"], digest, n, _page(head.get("warc-refers-to")), file.rsplit("/", 1)[-1], at, size))
-                    if len(out) >= 10_000:
-                        yield _index(out)
-                        out = []
-            yield _index(out)
+            file, out = batch.column(0)[i].as_py().rsplit("/", 1)[-1], []
+            for record, at, size in members(batch.column(1)[i].as_buffer()):
+                head, http, payload = parsed(record)
+                if head["warc-type"] == "warcinfo":
+                    continue
+                digest, n = head["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
+                if head["warc-type"] == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
+                    raise ValueError(f"{file}: the record at {at} is damaged")
+                url = head.get("warc-target-uri", "")
+                out.append((url_key(url), head["warc-date"], _number(head["x-page-id"]), url, head["warc-type"], digest, n, _number(head.get("x-refers-to-page-id")), file, at, size))
+            out.sort(key=_order)
+            for lo in range(0, len(out), 10_000):
+                yield _index(out[lo : lo + 10_000])
 
 
 def _index(rows) -> pa.RecordBatch:
@@ -163,26 +208,29 @@ def _order(row: tuple) -> tuple:
 
 
 def _merge(batches):
-    runs: list[list[tuple]] = []
+    """One range in order: the pieces of its runs, each of one archive, merged."""
+    runs: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not runs or _order(row) < _order(runs[-1][-1]):
-                runs.append([])
-            runs[-1].append(row)
+            runs.setdefault(row[8], []).append(row)
+    for run in runs.values():
+        run.sort(key=_order)  # one pass where Spark hands a piece on in its order
     out = []
-    for row in loser_tree(runs, _order):
+    for row in loser_tree(list(runs.values()), _order):
         out.append(row)
         if len(out) >= 10_000:
             yield _index(out)
             out = []
-    yield _index(out)
+    if out:
+        yield _index(out)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """The capture history of all archives under `path`, globally ordered by URL key, time and page."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    lines = files.mapInArrow(_read, INDEX)
-    return lines.repartitionByRange(partitions(spark), "urlkey", "date", "page_id", "file", "offset").mapInArrow(_merge, INDEX)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    lines = scratch.save(files.mapInArrow(_read, INDEX))
+    ranges = max(partitions(spark), lines.count() // RANGE_ROWS + 1)
+    return lines.repartitionByRange(ranges, "urlkey", "date", "page_id", "file", "offset").mapInArrow(_merge, INDEX)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -193,7 +241,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc")
     path = path or f"{scratch.root}/archives"
     write_archives(pages, path, scratch)
-    return read_index(pages.sparkSession, path)
+    return read_index(pages.sparkSession, path, scratch)
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
