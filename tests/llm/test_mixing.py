@@ -54,3 +54,19 @@ def test_shuffled_cells_agree(spark, monkeypatch):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_given_targets(spark):
+    """Marginals reach the shares that the caller gives; a value without a share goes."""
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 10 == 0 else i, f"{i} " + "w " * int(rng.integers(5, 50)), str(rng.choice(["en", "de"], p=[0.8, 0.2])), str(rng.choice(["a", "b", "c"], p=[0.7, 0.2, 0.1])), str(rng.choice(["x", "y"]))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    out = mix(df, keep=0.1, targets={"source": {"a": 1, "b": 1, "c": 0}, "lang": {"en": 0.5, "de": 0.5}}, topic=F.col("kind"))
+    got = out.select("row.source", "row.lang", "topic", F.col("n_tokens").alias("n"), "probability", "kept").toPandas()
+    assert set(got["topic"]) == {"x", "y"} and not got[got["source"] == "c"]["kept"].any()
+    for d, share in (("source", {"a": 0.5, "b": 0.5}), ("lang", {"en": 0.5, "de": 0.5})):
+        mass = (got["n"] * got["probability"]).groupby(got[d]).sum()
+        for v, x in share.items():
+            assert abs(mass[v] / mass.sum() - x) < 1e-3
+    kept = got[got["kept"]]
+    assert abs(kept["n"].sum() / got["n"].sum() - 0.1) < 0.02 and 0 < kept.shape[0] < 1200

@@ -1,6 +1,7 @@
 """Operator 9: mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell (source, language, topic); raking scales the cells in turn until each marginal has its target.
+Targets are shares that the caller gives for a dimension, or else the token shares flattened by a power.
 A document stays with a probability proportional to its cell's factor, scaled so that the expected tokens meet the
 budget and cut at one. All steps on cells are window sums over the cell table, which is written every three rounds.
 """
@@ -42,15 +43,22 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
-def target_shares(cells: DataFrame, flatten: dict[str, float] = FLATTEN) -> DataFrame:
-    """`cells` with t_<dim>, the target tokens of each marginal."""
-    out = cells.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+def target_shares(cells: DataFrame, flatten: dict[str, float] = FLATTEN, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """`cells` with t_<dim>, the target tokens of each marginal.
+
+    `targets` has for a dimension the share of each of its values (None for null); shares of values that occur are
+    brought to a sum of one, and values without a share get none. Dimensions that it lacks are flattened."""
+    out, total = cells, cells.agg(F.sum("tokens")).first()[0] or 0
     for d in DIMS:
-        marginal = cells.groupBy(d).agg(F.pow(F.sum("tokens"), F.lit(flatten[d])).alias("share"))
+        share = F.pow(F.sum("tokens"), F.lit(flatten[d]))
+        if given := (targets or {}).get(d):
+            table = cells.sparkSession.createDataFrame([(None if v is None else str(v), float(x)) for v, x in given.items()], "_v string, _share double")
+            marginal = cells.select(F.col(d).alias("_d")).distinct().join(table, F.col("_d").cast("string").eqNullSafe(F.col("_v")), "left").select("_d", F.coalesce("_share", F.lit(0.0)).alias("share"))
+        else:
+            marginal = cells.groupBy(F.col(d).alias("_d")).agg(share.alias("share"))
         norm = marginal.agg(F.sum("share")).first()[0] or 1.0
-        m = marginal.select(F.col(d).alias("_d"), (F.col("share") / norm).alias(f"t_{d}"))
-        out = out.join(m, F.col(d).eqNullSafe(F.col("_d")), "left").drop("_d").withColumn(f"t_{d}", F.col(f"t_{d}") * F.col("total"))
-    return out.drop("total")
+        out = out.join(marginal.select("_d", (F.col("share") / norm * total).alias(f"t_{d}")), F.col(d).eqNullSafe(F.col("_d")), "left").drop("_d")
+    return out
 
 
 def rake(scratch: Scratch, cells: DataFrame, *, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
@@ -61,11 +69,12 @@ def rake(scratch: Scratch, cells: DataFrame, *, tolerance: float = TOLERANCE, ro
     for _ in range(rounds):
         step = now
         for d in DIMS * 3:
-            step = step.withColumn("fitted", F.col("fitted") * F.col(f"t_{d}") / F.sum("fitted").over(Window.partitionBy(d)))
+            now_is = F.sum("fitted").over(Window.partitionBy(d))
+            step = step.withColumn("fitted", F.when(now_is > 0, F.col("fitted") * F.col(f"t_{d}") / now_is).otherwise(0.0))
         after = scratch.save(step)
         scratch.drop(now)
         now = after
-        gaps = [now.groupBy(d).agg((F.abs(F.sum("fitted") / F.first(f"t_{d}") - 1)).alias("gap")).select("gap") for d in DIMS[:-1]]
+        gaps = [now.groupBy(d).agg(F.sum("fitted").alias("is"), F.first(f"t_{d}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("is") / F.col("t") - 1)).alias("gap")) for d in DIMS[:-1]]
         if (gaps[0].unionByName(gaps[1]).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
     return now
@@ -74,8 +83,8 @@ def rake(scratch: Scratch, cells: DataFrame, *, tolerance: float = TOLERANCE, ro
 def scale_for(cells: DataFrame, keep: float) -> float:
     """c with sum(tokens * min(1, c * factor)) = keep * sum(tokens), by ever finer grids."""
     f = F.col("fitted") / F.col("tokens")
-    least, most, total = cells.agg(F.min(f), F.max(f), F.sum("tokens")).first()
-    if not total or keep >= 1:
+    least, most, total = cells.agg(F.min(F.when(f > 0, f)), F.max(f), F.sum("tokens")).first()
+    if not total or keep >= 1 or not most:
         return math.inf
     lo, hi = math.log(keep / most), math.log(1 / max(least, 1e-300))
     for _ in range(6):
@@ -86,18 +95,18 @@ def scale_for(cells: DataFrame, keep: float) -> float:
     return math.exp(hi)
 
 
-def mix(docs: DataFrame, *, keep: float = KEEP, flatten: dict[str, float] = FLATTEN, topic: Column | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, flatten: dict[str, float] = FLATTEN, topic: Column | None = None, seed: int = SEED) -> DataFrame:
     """Each row of `docs` as the struct `row`, with topic, n_tokens, probability and kept.
 
     Only doc_id, source, lang and text are read, so other columns may have any names. Null source or language is a value
-    of its own. Null and empty texts weigh one token. Rows of one id and text draw the same number. An empty table gives
-    an empty result."""
+    of its own. `topic` is a column of the caller's, by default a topic by the form of the text. Null and empty texts weigh
+    one token. Rows of one id and text draw the same number, null ids too. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "mixing")
     cell = F.to_json(F.struct("source", "lang", "topic"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), "source", "lang", "text")
-    rows = rows.withColumns({"topic": topic_of(F.col("text")) if topic is None else topic, "n_tokens": tokens_of(F.col("text"))}).withColumn("cell", cell)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), "source", "lang", "text", (topic_of(F.col("text")) if topic is None else topic).alias("topic"))
+    rows = rows.withColumn("n_tokens", tokens_of(F.col("text"))).withColumn("cell", cell)
     cells = scratch.save(rows.groupBy("cell", *DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
-    fitted = rake(scratch, target_shares(cells, flatten))
+    fitted = rake(scratch, target_shares(cells, flatten, targets))
     c = scale_for(fitted, keep)
     factor = F.lit(1.0) if math.isinf(c) else F.least(F.lit(1.0), F.col("fitted") / F.col("tokens") * c)
     odds = fitted.select("cell", factor.alias("probability"), "n")
@@ -105,7 +114,7 @@ def mix(docs: DataFrame, *, keep: float = KEEP, flatten: dict[str, float] = FLAT
         out = rows.join(F.broadcast(odds.drop("n")), "cell")
     else:
         out = lookup(rows, odds, ["cell"], "n")
-    u = (F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64("_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return out.select("row", "topic", "n_tokens", "probability", (u < F.col("probability")).alias("kept"))
 
 
