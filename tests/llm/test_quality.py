@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.quality import best_cut, resample, top_threshold
+from tidemark.llm.quality import best_cut, calibrated, resample, top_threshold
 
 
 def corpus(seed=0, n=1500):
@@ -58,3 +58,27 @@ def test_threshold(spark):
 def test_cut(w, g, lo, hi):
     c = best_cut(np.array(w, float), np.array(g, bool))
     assert lo <= c <= hi
+
+
+def test_resampling_follows_the_weights(spark):
+    """Brute force: Gumbel keys of scale one over the weights, and the k largest stay; null ids draw by their texts."""
+    docs, labels, _ = corpus(n=600)
+    docs = [(None if i % 7 == 0 else i, t) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([x for x in labels if x[0] % 7], "doc_id long, quality int, toxic int")
+    for k in (1, 100, 600):
+        out = resample(d, lab, k=k).toPandas()
+        noise = out["key"] - out["weight"]
+        assert len(set(noise.round(9))) == len(out) and abs(noise.mean() - 0.5772) < 0.2 and abs(noise.std() - 1.2825) < 0.2
+        assert out["kept"].sum() == k and out[out["kept"]]["key"].min() >= out[~out["kept"]]["key"].max() if k < 600 else out["kept"].all()
+    assert resample(d, lab, k=0).where("kept").count() == 0
+
+
+def test_calibration():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(20_000) * 3
+    good = rng.random(20_000) < 1 / (1 + np.exp(-(0.7 * x - 1)))
+    a, b = calibrated(x, good)
+    assert abs(a - 0.7) < 0.05 and abs(b + 1) < 0.1
+    a, b = calibrated(np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, False, True, True]))
+    assert np.isfinite([a, b]).all() and a > 0 and 1 < -b / a < 2
