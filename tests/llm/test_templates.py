@@ -61,3 +61,11 @@ def test_reader_pieces():
 
 def test_empty(spark):
     assert conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_values_that_do_not_go_together():
+    for source in ("{{ 'a' + 1 }}", "{{ 1 | upper }}"):
+        with pytest.raises(TemplateError):
+            text_of(source)
+    with pytest.raises(TemplateError):
+        text_of("{% for m in messages %}{{ m.k + 'a' }}{% endfor %}", [{"k": 1}])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WINDOW, COVERAGE, ENOUGH, CONSISTENT = 8, 0.5, 24, 0.8
 #: Windows with fewer literal tokens say too little.
 LITERALS = 4
-#: A benchmark of at most so many windows is sent to all executors; a larger one is joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Windows of a benchmark that take at most so many bytes are sent to all executors; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 NUM, NAME, UNIT, JOINT = "", "", "", ""
 # Units that follow a number.
 UNITS = "mm|cm|km|m|mg|kg|g|t|ml|cl|l|s|min|h|hz|khz|mhz|ghz|w|kw|mw|v|a|pa|kpa|bar|j|kj|cal|kcal|mph|kmh|miles|mile|feet|foot|ft|inches|inch|yards|yard|pounds|pound|lb|oz|gallons|gallon|litres|liters|metres|meters|seconds|minutes|hours|days|weeks|months|years|percent|dollars|cents|euros|degrees"
@@ -82,7 +82,7 @@ def whole_items(texts: DataFrame, benchmark: DataFrame, windows: DataFrame) -> D
     of = lambda t, n: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, n)))
     runs = lambda t: F.flatten(F.transform(F.filter(F.lit(lengths), lambda n: n <= F.size(t)), lambda n: of(t, n)))
     hits = texts.select("_key", "doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array(_plain(F.col("text"))), runs)))).alias("h"))
-    held = _join(hits, items, ["h"], items.count() <= BROADCAST_WINDOWS).dropDuplicates(["_key", "item_id"])
+    held = _join(hits, items, ["h"], items.count() * 64 <= BROADCAST_BYTES).dropDuplicates(["_key", "item_id"])
     return held.select("doc_id", "item_id", F.lit(1).cast("bigint").alias("n_windows"), F.lit(1.0).alias("coverage"), "n_slots", F.lit(1.0).alias("consistency"), "_key")
 
 
@@ -95,7 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     where all its tokens stand in a row with the same values, as one window; equal items are each reported; rows
     of one id and text are reported once, null ids too. Empty tables give an empty result. Other columns are not read."""
     windows = benchmark_windows(benchmark)
-    small = windows.count() <= BROADCAST_WINDOWS
+    bytes_of = F.octet_length(F.array_join("slots", " ")) + 32 * WINDOW  # strings in a hash table take some more than their letters
+    small = (windows.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_key", F.xxhash64("doc_id", "text"))
     hits = texts.select("_key", "doc_id", F.explode(_hashes(template(F.col("text"), False))).alias("h"))
     found = _join(hits, windows.select("h", "item_id", "total").distinct(), ["h"], small).groupBy("_key", "doc_id", "item_id", "total").agg(F.countDistinct("h").alias("n_windows"))

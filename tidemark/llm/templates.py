@@ -176,7 +176,7 @@ def expression(node) -> Callable[[dict], object]:
 
         return look
     if kind == "filter":
-        return lambda env, f=FILTERS[node[2]], x=expression(node[1]): f(x(env))
+        return _typed(lambda env, f=FILTERS[node[2]], x=expression(node[1]): f(x(env)))
     x = expression(node[1])
     if kind == "not":
         return lambda env: not x(env)
@@ -189,7 +189,19 @@ def expression(node) -> Callable[[dict], object]:
         return lambda env: x(env) == y(env)
     if kind == "!=":
         return lambda env: x(env) != y(env)
-    return lambda env: x(env) + y(env)
+    return _typed(lambda env: x(env) + y(env))
+
+
+def _typed(f: Callable[[dict], object]) -> Callable[[dict], object]:
+    """Values that do not go together are the template's fault."""
+
+    def run(env):
+        try:
+            return f(env)
+        except (TypeError, AttributeError) as e:
+            raise TemplateError(str(e)) from e
+
+    return run
 
 
 def parse(source: str) -> tuple:
