@@ -141,11 +141,16 @@ def one_pass_profile(spark, sf):
 
 # matchups: suppliers as passes at stations
 _FOUND = """SELECT s_nationkey AS station_id, (s_suppkey % 3 + 1) * 1.0::DOUBLE AS radius_km, s_suppkey % 4 AS rgt, DATE '2020-01-01' + (s_suppkey % 9)::INT AS date, s_acctbal / 1000 AS c_a, s_acctbal / 1000 + (s_suppkey % 5) * 0.01::DOUBLE AS c_b, s_acctbal / 1000 - (s_suppkey % 2) * 0.02::DOUBLE AS c_c, s_suppkey * 0.1::DOUBLE AS median FROM supplier"""
-_EMP = "count(v) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(median(dev), 6) AS mad, round(1.4826 * median(dev), 6) AS nmad, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr"
-_STATS = ("median", "mean", "std", "mad", "nmad", "p05", "p95", "iqr")
+_EMP = "count(v) AS n, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(median(dev), 6) AS mad, round(1.4826 * median(dev), 6) AS nmad, round(quantile_cont(v, 0.05), 9) AS p05, round(quantile_cont(v, 0.95), 9) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 9) AS iqr"
+_STATS = ("median", "mean", "std", "mad", "nmad")
 _REP = "SELECT station_id, arg_min(radius_km, abs(radius_km - 2) + CASE WHEN radius_km < 2 THEN 1e-6 ELSE 0 END) FILTER (n >= 5) AS reported_radius_km FROM (SELECT station_id, radius_km, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1"
 
 
+def stats6(df: DataFrame, *more: str) -> DataFrame:
+    """Statistics to six digits; percentiles, which may end in a five at the seventh, to nine."""
+    return rounded(df.withColumns({c: F.round(c, 9) for c in ("p05", "p95", "iqr")}), *_STATS, *more)
+
+
 def _found(spark, sf):
     k = F.col("s_suppkey")
     c = F.col("s_acctbal") / 1000
@@ -161,13 +166,13 @@ def _ladder(spark, sf):
 
 @query(f"SELECT station_id, {_EMP} FROM (SELECT station_id, c_a AS v, abs(c_a - median(c_a) OVER (PARTITION BY station_id)) AS dev FROM ({_FOUND})) GROUP BY 1")
 def empirical_stats(spark, sf):
-    return rounded(matchups.empirical(_found(spark, sf), ["station_id"], "c_a"), *_STATS)
+    return stats6(matchups.empirical(_found(spark, sf), ["station_id"], "c_a"))
 
 
 @query(f"""WITH f AS ({_FOUND}), w AS (SELECT *, c_a AS v, abs(c_a - median(c_a) OVER (PARTITION BY station_id, radius_km)) AS dev FROM f)
 SELECT station_id, radius_km, {_EMP.replace('median(v), 6) AS median', 'median(v), 6) AS median')}, count(DISTINCT date) AS n_dates, count(DISTINCT rgt) AS n_rgts, array_to_string(list_sort(list(DISTINCT rgt)), ',') AS rgts, round(median(w.median), 6) AS median_level, CASE WHEN count(v) < 5 THEN 'LOW_SAMPLE' ELSE 'OK' END AS flag FROM w GROUP BY 1, 2""")
 def corrector_by_radius(spark, sf):
-    return rounded(matchups.by_radius(_found(spark, sf)), *_STATS, "median_level")
+    return stats6(matchups.by_radius(_found(spark, sf)), "median_level")
 
 
 @query(f"""WITH f AS ({_FOUND}), r AS ({_REP}), x AS (SELECT f.* FROM f JOIN r USING (station_id) WHERE radius_km = reported_radius_km),
@@ -175,7 +180,7 @@ w AS (SELECT *, c_a AS v, abs(c_a - median(c_a) OVER (PARTITION BY station_id, r
 SELECT station_id, rgt, {_EMP}, count(DISTINCT date) AS n_dates, round(any_value(m), 6) AS station_median, round(median(v) - any_value(m), 6) AS rgt_bias, CASE WHEN count(v) < 5 THEN 'LOW_SAMPLE' ELSE 'OK' END AS flag FROM w JOIN s USING (station_id) GROUP BY 1, 2""")
 def corrector_by_track(spark, sf):
     rep = matchups.reported_radius(_ladder(spark, sf)).where("reported_radius_km is not null")
-    return rounded(matchups.by_track(_found(spark, sf), rep), *_STATS, "station_median", "rgt_bias")
+    return stats6(matchups.by_track(_found(spark, sf), rep), "station_median", "rgt_bias")
 
 
 @query(f"""WITH f AS ({_FOUND}), r AS ({_REP}), x AS (SELECT f.* FROM f JOIN r USING (station_id) WHERE radius_km = reported_radius_km),
@@ -187,7 +192,7 @@ FROM r LEFT JOIN e USING (station_id) LEFT JOIN l USING (station_id)""")
 def corrector_uncertainty(spark, sf):
     ladder = _ladder(spark, sf)
     out = matchups.uncertainty_table(_found(spark, sf), ladder, matchups.reported_radius(ladder), accuracy_m=0.05)
-    return rounded(out.drop("sigma_gauge_zero_m", "sigma_egg2015_model_m", "sigma_atl13_bias_m"), *_STATS, "temporal_spread", "radius_spread")
+    return stats6(out.drop("sigma_gauge_zero_m", "sigma_egg2015_model_m", "sigma_atl13_bias_m"), "temporal_spread", "radius_spread")
 
 
 @query(f"""WITH c AS (SELECT *, v - 0.1 * (station_id % 3) AS lo, v + 0.2 AS hi FROM ({_CONTROL})), m AS (SELECT *, abs(v - median(v) OVER ()) AS dev FROM c)
@@ -258,13 +263,13 @@ def raster_metadata(spark, sf):
     return rounded(store.raster_metadata(_controls(spark, sf), "v", crs="EPSG:4326"), "min_m", "max_m")
 
 
-@query("""WITH o AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 3) AS h FROM orders GROUP BY 1), s AS (
+@query("""WITH o AS (SELECT o_orderdate::DATE AS date, max(o_totalprice) AS h FROM orders GROUP BY 1), s AS (
   SELECT date, h, h / 10 AS local, h / 10 AS absolute, 'yearbook_csv' AS source, 1 AS p FROM o WHERE day(date) <= 8
   UNION ALL SELECT date, h + 1, NULL, 5 + (h + 1) / 100, 'donor_parquet', 3 FROM o WHERE day(date) BETWEEN 5 AND 20
   UNION ALL SELECT date, h + 2, NULL, 5 + (h + 2) / 100, 'donor_parquet_versioned', 4 FROM o WHERE day(date) >= 15)
 SELECT date, round(h, 3) AS h_cm, round(local, 4) AS h_m_local, round(absolute, 5) AS h_bs77_m, source, date >= DATE '1995-06-17' AS post_breach FROM s QUALIFY row_number() OVER (PARTITION BY date ORDER BY p) = 1""")
 def downstream_stitch(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 3).alias("h"))
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("h"))
     day = F.dayofmonth("date")
     book = o.where(day <= 8).select("date", F.lit("daily").alias("stat_type"), F.col("h").alias("water_level_cm"), (F.col("h") / 10).alias("water_level_m_abs"))
     monthly = book.withColumns({"stat_type": F.lit("monthly"), "water_level_cm": F.lit(0.0)})
@@ -333,7 +338,7 @@ def provisional_corrector(spark, sf):
     o = table(spark, sf, "orders").withColumns({"date": F.to_date("o_orderdate"), "period": X.period_label("o_orderdate", LAST, FIRST)})
     daily = o.where(F.dayofmonth("date") % 3 == 1).groupBy("date", "period").agg((F.avg("o_totalprice") / 1000).alias("h_bs77_m"))
     passes = o.select("period", F.col("o_orderdate").alias("datetime"), (F.col("o_totalprice") / 1000).alias("median"), (F.col("o_custkey") % 20).alias("station_km"))
-    return rounded(matchups.provisional(passes, daily, km=5.0, delta=0.25, period="PRE_BREACH"), *_STATS)
+    return stats6(matchups.provisional(passes, daily, km=5.0, delta=0.25, period="PRE_BREACH"))
 
 
 @query(f"""WITH g AS ({_GRID}), s AS (SELECT station_id, s_lat AS lat, s_lon AS lon, floor((s_lat - 46.6::DOUBLE) / 0.05::DOUBLE + 0.5)::INT AS iy, floor((s_lon - 33.2::DOUBLE) / 0.1::DOUBLE + 0.5)::INT AS ix FROM ({STATIONS}))
