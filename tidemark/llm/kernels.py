@@ -79,7 +79,9 @@ def prefix(tokens: np.ndarray) -> np.ndarray:
     low = np.cumsum(terms & U(0x7FFFFFFF))  # halves of 31 bits leave room for 2**33 terms
     terms >>= U(31)
     high = _folded(np.cumsum(terms, out=terms))
-    out[1:] = _folded(times(high, np.full(1, 1 << 31, U)) + _folded(low))
+    turned = (high << U(31)) & U(PRIME)  # high * 2**31 modulo PRIME is a turn of its 61 bits
+    turned |= high >> U(30)
+    out[1:] = _folded(turned + _folded(low))
     return out
 
 
@@ -89,6 +91,13 @@ def hashed(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix(times(_folded(p[stop] + (U(PRIME) - p[start])), down[start]))
 
 
+def rolling(p: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of `width` tokens, rows left out of account."""
+    _, down = powers(len(p))
+    n = len(p) - width
+    return mix(times(_folded(p[width:] + (U(PRIME) - p[:n])), down[:n]))
+
+
 def digests(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Two 64-bit hashes of each row's bytes."""
     data = memoryview(np.ascontiguousarray(raw))

@@ -65,8 +65,7 @@ def _grams(spec: Spec, tok: np.ndarray, first: np.ndarray):
     h = np.full(n, k.TOP)
     if n >= spec.gram:
         whole = k.window_starts(first, spec.gram)[: n - spec.gram + 1]
-        at = np.arange(n - spec.gram + 1)
-        g = k.hashed(p, at, at + spec.gram)
+        g = k.rolling(p, spec.gram)
         h[: len(g)] = np.where(whole, g, k.TOP)
     least = k.sliding(h, spec.width - spec.gram + 1, True)
     return p, h, least
