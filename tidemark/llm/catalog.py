@@ -4,7 +4,9 @@ import corpus_pipeline
 from tidemark.llm.byte_repeats import op2_suffix_dedup
 from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.embeddings import op1_embedding_dedup
+from tidemark.llm.lexicon import op12_bpe_transducer
 from tidemark.llm.lines import op7_line_dedup
+from tidemark.llm.middle import OP13_SQL, op13_fill_in_middle
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.mixing import op9_source_mixing
 from tidemark.llm.oracles import OP1_SQL, OP2_SQL, OP5_SQL, OP8_SQL
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_resample": op10_quality_resample,
+    "op12_bpe_transducer": op12_bpe_transducer,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
@@ -33,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op5_minhash_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }

@@ -28,12 +28,26 @@ from tidemark.llm import kernels as k
 from tidemark.llm.scratch import deploy
 
 #: Words in the lexicon, and bytes of the longest.
-LEXICON_WORDS, LONGEST = 1 << 16, 32
+LEXICON_WORDS, LONGEST = 1 << 17, 32
 #: Bytes of text worked on at once; distinct words that a worker counts, and unseen ones that it remembers, before it starts anew.
 BLOCK, HELD = 1 << 21, 100_000
 #: Code points beyond these go through the library's normaliser: below them no text changes under NFC, cases map one by
 #: one, and str.split() cuts where the pattern for white space does.
 _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u2030-\\u205e]")
+#: Characters of lower-case words whose classes are known, and the runs that a word splits into; other words are split by the library.
+_KNOWN = re.compile("[\\x00-\\x7f\\u00df-\\u00f6\\u00f8-\\u02af\\u2010-\\u2027\\u2030-\\u205e]*")
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00df-\\u02af]+|[0-9]|[^a-z\\u00df-\\u02af0-9]+")
+
+
+#: Low bits of a rank that hold the id of the merged token; the rank of what never merges.
+ID_BITS, NEVER = 24, 1 << 60
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in seen else next(other)) for b in range(256)]
 
 
 class Merger:
@@ -49,10 +63,11 @@ class Merger:
         special = [(t["content"], t["id"]) for t in spec["added_tokens"]]
         self.special = dict(special)
         self.split = re.compile("|".join(re.escape(t) for t, _ in sorted(special, key=lambda x: -len(x[0]))) or r"(?!)")
-        self.rank = {}
+        self.rank = {}  # rank, then the new id in the low bits
         for i, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[self.vocab[a], self.vocab[b]] = i, self.vocab[a + b]
+            self.rank[self.vocab[a], self.vocab[b]] = i << ID_BITS | self.vocab[a + b]
+        self.inner, self.last = ([self.vocab[c + end] for c in byte_symbols()] for end in ("", self.end))
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for text, i in [*self.vocab.items(), *special]:
             self.tokens[i] = text
@@ -73,31 +88,46 @@ class Merger:
         return out
 
     def ids(self, word: str) -> list[int]:
-        """Ids of a word without white space; the library cuts it into runs of letters, digits and other characters."""
-        return [i for part, _ in self.library.pre_tokenizer.pre_tokenize_str(word) for i in self.merged(part)]
-
-    def merged(self, part: str) -> list[int]:
-        """Merges by rank, of equal ranks the leftmost first; neighbours are linked, so n symbols take n log n steps."""
-        sym = [self.vocab[c] for c in part[:-1]] + [self.vocab[part[-1] + self.end]]
-        n, rank = len(sym), self.rank
-        if n == 1:
-            return sym
+        """Ids of a word without white space, cut into runs of letters, single digits and runs of other characters."""
+        if _KNOWN.fullmatch(word):
+            parts = [p.encode() for p in _RUNS.findall(word)]
+            symbols = [[*map(self.inner.__getitem__, p[:-1]), self.last[p[-1]]] for p in parts]
+        else:
+            shown = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+            symbols = [[*map(self.vocab.__getitem__, p[:-1]), self.vocab[p[-1] + self.end]] for p in shown]
+        return [i for x in symbols for i in (self.short(x) if len(x) < 40 else self.long(x))]
+
+    def short(self, sym: list[int]) -> list[int]:
+        """Merges by rank, of equal ranks the leftmost first."""
+        get = self.rank.get
+        ranks = [get(p, NEVER) for p in zip(sym, sym[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            sym[i : i + 2] = [least & ((1 << ID_BITS) - 1)]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((sym[i - 1], sym[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((sym[i], sym[i + 1]), NEVER)
+        return sym
+
+    def long(self, sym: list[int]) -> list[int]:
+        """The same in n log n steps: a heap of pairs, and links between neighbours."""
+        n, get, low = len(sym), self.rank.get, (1 << ID_BITS) - 1
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        queue = [(r[0], i, r[1]) for i in range(n - 1) if (r := rank.get((sym[i], sym[i + 1])))]
+        queue = [(r, i) for i in range(n - 1) if (r := get((sym[i], sym[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
+            rank, i = heapq.heappop(queue)
             j = after[i]
-            if sym[i] < 0 or j < 0 or (r := rank.get((sym[i], sym[j]))) is None or r[1] != new:
+            if sym[i] < 0 or j < 0 or get((sym[i], sym[j])) != rank:
                 continue
-            sym[i], sym[j] = new, -1
-            after[i] = nxt = after[j]
-            if nxt >= 0:
+            sym[i], sym[j], after[i] = rank & low, -1, after[j]
+            if (nxt := after[i]) >= 0:
                 before[nxt] = i
-                if r := rank.get((new, sym[nxt])):
-                    heapq.heappush(queue, (r[0], i, r[1]))
-            if (prev := before[i]) >= 0 and (r := rank.get((sym[prev], new))):
-                heapq.heappush(queue, (r[0], prev, r[1]))
+            for a, b in ((before[i], i), (i, nxt)):
+                if a >= 0 and b >= 0 and (r := get((sym[a], sym[b]))) is not None:
+                    heapq.heappush(queue, (r, a))
         return [s for s in sym if s >= 0]
 
 
@@ -136,15 +166,16 @@ def automaton(words: list[bytes]) -> dict[str, np.ndarray]:
     settle(0)
     live = [0, *sorted(set(known.values()))]
     number = {s: i for i, s in enumerate(live)}
-    slots, used, free = [], bytearray(1 << 16), 256
+    slots, used, free = [], bytearray(1 << 16), {}
     base = np.zeros(len(live), np.int32)
     for s in sorted(live, key=lambda s: -len(kids[s])):
         edges = list(kids[s].items())
         if not edges:
             continue
-        at = free = used.find(0, free)
+        at = used.find(0, free.get(len(edges), 256))
         while any(used[at - edges[0][0] + b] for b, _ in edges):
             at = used.find(0, at + 1)
+        free[len(edges)] = at  # states with as many edges look on from here
         base[number[s]], count = at - edges[0][0], int(final[s])
         for b, c in edges:
             t = at - edges[0][0] + b
@@ -261,7 +292,7 @@ def frequent_words(docs: DataFrame, model: str, most: int) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def _merged_words(words: list[str], merger: Merger, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+def _merged_words(words: list[bytes], merger: Merger, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of words that the lexicon does not have."""
     if len(memo) > HELD:
         memo.clear()
@@ -269,7 +300,7 @@ def _merged_words(words: list[str], merger: Merger, memo: dict) -> tuple[np.ndar
     for w in words:
         ids = memo.get(w)
         if ids is None:
-            ids = merger.ids(w)
+            ids = merger.ids(w.decode())
             if len(w) <= 1000:
                 memo[w] = ids
         out.append(ids)
@@ -281,8 +312,9 @@ def _encoded(model: str, lexicon: str):
         merger, table, memo = _held(Merger, model), _held(Lexicon, lexicon), {}
         size = len(table.off) - 1
         for keys, parts in _parts(batches, merger):
-            raw = np.frombuffer(" ".join(p[1] for p in parts).encode(), np.uint8)
-            part_bytes = np.array([len(p[1].encode()) for p in parts])
+            texts = [p[1].encode() for p in parts]
+            data = b" ".join(texts)
+            raw, part_bytes = np.frombuffer(data, np.uint8), np.array([len(t) for t in texts])
             first_byte = np.cumsum(part_bytes + 1) - part_bytes - 1
             space = raw == 32
             edge = np.flatnonzero(space)
@@ -291,13 +323,12 @@ def _encoded(model: str, lexicon: str):
             begin, stop = begin[some], stop[some]
             place = table.find(raw, begin, stop)
             part = np.searchsorted(first_byte, begin, "right") - 1
-            # where texts are empty several parts begin at one byte apart; the last one that begins there has the word
             special = np.array([p[2] for p in parts], np.int64)
             marks = np.flatnonzero(special >= 0)
             lost = np.flatnonzero(place < 0)
-            words, which = np.unique(np.array([raw[begin[i] : stop[i]].tobytes().decode() for i in lost], object), return_inverse=True) if len(lost) else (np.zeros(0, object), lost)
-            place[lost] = size + which
-            ext_off, ext_ids = _merged_words([*words], merger, memo)
+            words = [data[a:b] for a, b in zip(begin[lost].tolist(), stop[lost].tolist(), strict=True)]
+            place[lost] = size + np.arange(len(lost))
+            ext_off, ext_ids = _merged_words(words, merger, memo)
             tokens = np.sort(np.unique(special[marks]))
             where = np.searchsorted(part, marks)
             part = np.insert(part, where, marks)
