@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from tidemark.llm.byte_repeats import op2_suffix_dedup
+from tidemark.llm.collocations import OP11_SQL, op11_collocations
 from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.embeddings import op1_embedding_dedup
 from tidemark.llm.lexicon import op12_bpe_transducer
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_resample": op10_quality_resample,
+    "op11_collocations": op11_collocations,
     "op12_bpe_transducer": op12_bpe_transducer,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -37,5 +39,6 @@ ORACLES: dict[str, str] = {
     "op5_minhash_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
