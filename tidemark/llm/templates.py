@@ -42,7 +42,7 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
-FILTERS: dict[str, Callable] = {"escape": lambda x: escape(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len}
+FILTERS: dict[str, Callable] = {"escape": lambda x: escape(str(x)), "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
 _WORD = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[-+|.()\[\],=]))")
 _PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
