@@ -28,7 +28,9 @@ LONGEST, LEAST, SHARDS, TOP = 3, 10, 4, 2000
 #: A phrase goes if 100 * f(longer) >= COVER * a.
 COVER = 50
 #: Words counted together, distinct words that a task holds, and bytes of text taken at once.
-BLOCK, VOCABULARY, TEXT_BLOCK = 1_000_000, 400_000, 1 << 20
+BLOCK, VOCABULARY, TEXT_BLOCK = 400_000, 200_000, 1 << 20
+#: Rows that a task sends at once.
+ROWS = 50_000
 #: Bits of the bitmap of candidates (16 MB, whatever the corpus), and of one of Spark's bitmaps.
 BITS, BUCKET = 1 << 27, 32768
 NEXT = U(0x9E3779B97F4A7C15)
@@ -145,8 +147,10 @@ def _tallied(bitmap, longest: int):
             yield _rows(langs, [0] * len(langs), [""] * len(langs), total)
             for n, (lang, ids, h, prev, count) in enumerate(levels, 1):
                 kept = kept[prev] & _held(bits, h)
-                some = np.flatnonzero(kept & (count > 0))
-                yield _rows([langs[i] for i in lang[some]], [n] * len(some), [" ".join([text[w - 1] for w in row]) for row in ids[some].tolist()], count[some])
+                found = np.flatnonzero(kept & (count > 0))
+                for lo in range(0, len(found), ROWS):
+                    some = found[lo : lo + ROWS]
+                    yield _rows([langs[i] for i in lang[some]], [n] * len(some), [" ".join([text[w - 1] for w in row]) for row in ids[some].tolist()], count[some])
 
     return run
 
