@@ -22,12 +22,12 @@ def plain(v):
 def test_queries_equal_sql(spark):
     import duckdb
 
-    from tidemark.plans import catalog, region_catalog
+    from tidemark.plans import catalog, region_catalog, spatial_catalog
 
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for module in (catalog, region_catalog):
+    for module in (catalog, region_catalog, spatial_catalog):
         for name in sorted(module.ORACLES):
             got = module.QUERIES[name](spark, SF)
             cur = con.execute(module.ORACLES[name])

@@ -49,6 +49,12 @@ def _leaves(found: list[DataFrame], items: Column, width: int, **root) -> Leaves
     return Leaves(cells, tuple(sorted(r["step"] for r in seen)), sum(64 * r["n"] + width * (r["items"] or 0) for r in seen), **root)
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all cores: they are few bytes and much work, so partitions of bytes would leave most cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def _children(c: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: c * SPLIT + i))
 
@@ -95,7 +101,8 @@ def polygon_cover(edges: DataFrame, *, most: int = MOST_EDGES, steps: int = STEP
     A cell knows whether its reference point is inside. A child's follows from its parent's by the parent's edges alone,
     as the way between the two stays in the parent. Edges with null or non-finite ends are left out."""
     good = [finite(c).isNotNull() for c in ("x1", "y1", "x2", "y2")]
-    edges = edges.where(reduce(lambda a, b: a & b, good))
+    ends = ["x1", "y1", "x2", "y2"]
+    edges = cut(_spread(edges.where(reduce(lambda a, b: a & b, good)), "polygon", *ends))
     b = edges.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).first()
     west, south, east, north = (0.0, 0.0, 1.0, 1.0) if b[0] is None else b
     size = max(east - west, north - south, 1e-9) * 1.001
@@ -108,7 +115,7 @@ def polygon_cover(edges: DataFrame, *, most: int = MOST_EDGES, steps: int = STEP
         s = step_size(step)
         kids = now.withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy")))
         nx, ny = x0 + (F.col("cx") + REF[0]) * s, y0 + (F.col("cy") + REF[1]) * s
-        e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+        e = {c: F.col(c) for c in ends}
         kids = kids.withColumns({"nx": nx, "ny": ny}).withColumn("turn", _turns(e, F.col("nx"), F.col("ny"), F.col("rx"), F.col("ry")))
         mx, my, half = x0 + (F.col("cx") + 0.5) * s, y0 + (F.col("cy") + 0.5) * s, s * (0.5 + MARGIN)
         dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -120,14 +127,14 @@ def polygon_cover(edges: DataFrame, *, most: int = MOST_EDGES, steps: int = STEP
         inside = cells.where("n = 0 and odd").select("polygon", "step", "cx", "cy", "odd", F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"))
         held = kids.where("here").drop("odd", "rx", "ry", "turn", "here").withColumnsRenamed({"nx": "rx", "ny": "ry"})
         held = held.join(cells.where("n > 0").select("polygon", "cx", "cy", "odd", "n"), ["polygon", "cx", "cy"])
-        held = cut(held)
+        held = cut(_spread(held, "polygon", *ends))
         full = F.col("n") > most if step < steps else F.lit(False)
         border = held.where(~full).groupBy("polygon", "cx", "cy").agg(F.first("odd").alias("odd"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
         found += [inside, border.select("polygon", F.lit(step).alias("step"), "cx", "cy", "odd", "edges")]
         now = held.where(full).drop("n")
         if now.isEmpty():
             break
-    return _leaves(found, F.size(F.coalesce("edges", F.array())), 40, x0=x0, y0=y0, size=size)
+    return _leaves([cut(reduce(DataFrame.unionByName, found))], F.size(F.coalesce("edges", F.array())), 40, x0=x0, y0=y0, size=size)
 
 
 def polygon_join(points: DataFrame, cover: Leaves, *, x="lon", y="lat", out: str = "polygon") -> DataFrame:
@@ -191,9 +198,9 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
     keyed = keyed.withColumns({"x": x, "y": y, "z": z, "id": F.xxhash64("o", "lat", "lon")})
     now = cut(keyed.withColumns({"face": F.explode(F.sequence(F.lit(0), F.lit(5))), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}))
     found, where = [], ["face", "cx", "cy"]
-    for step in range(1, steps + 1):
+    for step in range(steps + 1):  # first the faces as they are, so that each keeps its own part of the stations
         n = SPLIT**step
-        kids = now.withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy")))
+        kids = now.withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy"))) if step else now
         at = lambda i, j: _direction(F.col("face"), (F.col("cx") + i) / n, (F.col("cy") + j) / n)  # noqa: E731, B023
         corners = [(i, j) for i in (-MARGIN, 1 + MARGIN) for j in (-MARGIN, 1 + MARGIN)]
         kids = kids.withColumns({f"d{m}": sum((a * F.col(c) for a, c in zip(at(i, j), "xyz", strict=True)), F.lit(0.0)) for m, (i, j) in enumerate([(0.5, 0.5), *corners])})
@@ -209,7 +216,7 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
                 test = test & (sum((a * (r[c] - F.col(c)) for a, c in zip(at(i, j), "xyz", strict=True)), F.lit(0.0)) > 1e-14)  # noqa: B023
             return (r["id"] != F.col("id")) & test
 
-        kept = cut(kids.where(F.size(F.filter("rivals", nearer)) < k).drop("rivals"))
+        kept = cut(_spread(kids.where(F.size(F.filter("rivals", nearer)) < k).drop("rivals"), "id", *where))
         counts = kept.groupBy(*where).agg(F.count("*").alias("n"))
         full = F.col("n") > most if step < steps else F.lit(False)
         leaf = kept.join(counts.where(~full).select(*where), where).groupBy(*where).agg(F.collect_list(F.struct("lat", "lon", "o", "s")).alias("near"))
@@ -217,7 +224,7 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
         now = kept.join(counts.where(full).select(*where), where)
         if now.isEmpty():
             break
-    return _leaves([cut(f) for f in found], F.size("near"), 32 + 16 * len(names))
+    return _leaves([cut(reduce(DataFrame.unionByName, found))], F.size("near"), 32 + 16 * len(names))
 
 
 def nearest(points: DataFrame, cover: Leaves, *, k: int = 1, lat="lat", lon="lon", out: str = "near") -> DataFrame:
@@ -245,3 +252,18 @@ def nearest_any(points: DataFrame, stations: DataFrame, *, lat="lat", lon="lon",
     """Each point with distance_km and the columns of its nearest station, of any number of stations."""
     got = nearest(points, station_cover(stations, s_lat=s_lat, s_lon=s_lon, order=order), lat=lat, lon=lon, out="_near")
     return got.select(*points.columns, F.col("_near")[0]["distance_km"].alias("distance_km"), *(F.col("_near")[0][c].alias(c) for c in stations.columns))
+
+
+def idw(points: DataFrame, controls: DataFrame, value: str, *, k: int = 8, power: float = 2.0, lat="lat", lon="lon", s_lat: str = "s_lat", s_lon: str = "s_lon", out: str = "value") -> DataFrame:
+    """Adds `out`, the mean of the k nearest controls by inverse distance, and <out>_reach_km, how far the farthest of them is.
+
+    Controls at the point itself (within 1e-9 km) give their mean. Controls without a finite value take no part; points
+    without a place, and all points where there are no controls, get null."""
+    good = controls.select(finite(value).alias("v"), F.col(s_lat), F.col(s_lon)).where("v is not null")
+    near = nearest(points, station_cover(good, k=k, s_lat=s_lat, s_lon=s_lon), k=k, lat=lat, lon=lon, out="_near")
+    fold = lambda of, f: F.aggregate(of, F.lit(0.0), lambda a, s: a + f(s))
+    weight = lambda s: F.pow(s["distance_km"], F.lit(-power))
+    here = F.filter("_near", lambda s: s["distance_km"] <= 1e-9)
+    away = fold(F.col("_near"), lambda s: weight(s) * s["v"]) / fold(F.col("_near"), weight)
+    found = F.when(F.size(here) > 0, fold(here, lambda s: s["v"]) / F.size(here)).when(F.size("_near") > 0, away)
+    return near.withColumns({out: found, f"{out}_reach_km": F.array_max(F.transform("_near", lambda s: s["distance_km"]))}).drop("_near")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import grids, joins, matchups, models, robust
+from tidemark.operators import grids, joins, matchups, models, robust, spatial
 from tidemark.plans import store
 from tidemark.sources import readers
 from tidemark.streaming.ingest import sessions, window_counts
@@ -295,18 +295,27 @@ def grid_nearest(spark, sf):
     return grids.sample_nearest(p, _grid(spark), AXIS, "dem").select("l_orderkey", "lat", r6("dem"))
 
 
-@query(f"""WITH g AS ({_GRID}), n AS (SELECT y AS iy, x AS ix, (46.6::DOUBLE + y * 0.08::DOUBLE - 46.6::DOUBLE) / 0.05::DOUBLE AS fy, (33.2::DOUBLE + x * 0.08::DOUBLE - 33.2::DOUBLE) / 0.1::DOUBLE AS fx FROM generate_series(0, 18) a(y) CROSS JOIN generate_series(0, 30) b(x)),
+#: A grid of the mean quantity of the line items at each node; nodes without any have no value.
+_ITEM_GRID = "SELECT iy, ix, 46.6::DOUBLE + iy * 0.05::DOUBLE AS lat, 33.2::DOUBLE + ix * 0.1::DOUBLE AS lon, value FROM generate_series(0, 29) a(iy) CROSS JOIN generate_series(0, 24) b(ix) LEFT JOIN (SELECT l_partkey % 26 + 2 AS iy, l_suppkey % 17 + 4 AS ix, round(avg(l_quantity), 6)::DOUBLE AS value FROM lineitem WHERE (l_partkey * 7 + l_suppkey * 3) % 41 <> 5 GROUP BY 1, 2) USING (iy, ix)"
+
+
+def _item_grid(spark, sf):
+    v = table(spark, sf, "lineitem").where((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 41 != 5).groupBy((F.col("l_partkey") % 26 + 2).cast("int").alias("iy"), (F.col("l_suppkey") % 17 + 4).cast("int").alias("ix")).agg(F.round(F.avg("l_quantity").cast("double"), 6).alias("value"))
+    return grids.lattice(spark, AXIS).join(v, ["iy", "ix"], "left")
+
+
+@query(f"""WITH g AS ({_ITEM_GRID}), n AS (SELECT y AS iy, x AS ix, (46.6::DOUBLE + y * 0.08::DOUBLE - 46.6::DOUBLE) / 0.05::DOUBLE AS fy, (33.2::DOUBLE + x * 0.08::DOUBLE - 33.2::DOUBLE) / 0.1::DOUBLE AS fx FROM generate_series(0, 18) a(y) CROSS JOIN generate_series(0, 30) b(x)),
 c AS (SELECT *, greatest(0, least(floor(fy), 28)) AS jy, greatest(0, least(floor(fx), 23)) AS jx FROM n)
 SELECT c.iy::INT AS iy, c.ix::INT AS ix, round(a.value * (1 - (fy - jy)) * (1 - (fx - jx)) + b.value * (1 - (fy - jy)) * (fx - jx) + d.value * (fy - jy) * (1 - (fx - jx)) + e.value * (fy - jy) * (fx - jx), 5) AS value
 FROM c LEFT JOIN g a ON a.iy = jy AND a.ix = jx LEFT JOIN g b ON b.iy = jy AND b.ix = jx + 1 LEFT JOIN g d ON d.iy = jy + 1 AND d.ix = jx LEFT JOIN g e ON e.iy = jy + 1 AND e.ix = jx + 1""")
 def grid_resample(spark, sf):
-    return grids.resample(_grid(spark), AXIS, 0.08).select("iy", "ix", F.round("value", 5).alias("value"))
+    return grids.resample(_item_grid(spark, sf), AXIS, 0.08).select("iy", "ix", F.round("value", 5).alias("value"))
 
 
-@query(f"""WITH g AS ({_GRID}), b AS (SELECT min(iy) y0, max(iy) y1, min(ix) x0, max(ix) x1 FROM g WHERE value IS NOT NULL), t AS (SELECT g.* FROM g, b WHERE iy BETWEEN y0 AND y1 AND ix BETWEEN x0 AND x1)
+@query(f"""WITH g AS ({_ITEM_GRID}), b AS (SELECT min(iy) y0, max(iy) y1, min(ix) x0, max(ix) x1 FROM g WHERE value IS NOT NULL), t AS (SELECT g.* FROM g, b WHERE iy BETWEEN y0 AND y1 AND ix BETWEEN x0 AND x1)
 SELECT count(*) AS nodes, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, round(stddev_pop(value), 6) AS std FROM t""")
 def grid_trim_stats(spark, sf):
-    t = grids.trim_to_valid(_grid(spark))
+    t = grids.trim_to_valid(_item_grid(spark, sf))
     return rounded(t.agg(F.count("*").alias("nodes")).crossJoin(grids.grid_statistics(t)), "mean", "low", "high", "std")  # one row each
 
 
@@ -500,9 +509,7 @@ d AS (SELECT i, v, station_id, {KM('lat', 'lon', 's_lat', 's_lon')} AS km FROM p
 SELECT i, round(coalesce(avg(v) FILTER (km <= 1e-9), sum(v * pow(km, -2)) / sum(pow(km, -2))), 6) AS value FROM d GROUP BY 1""")
 def model_idw(spark, sf):
     p = items(spark, sf).select((F.col("l_partkey") % 1201).alias("i"), "lat", F.lit(34.0).alias("lon")).distinct()
-    d = joins.radius_join(p, _controls(spark, sf), 20_000.0, out="km")
-    hit = F.col("km") <= 1e-9
-    return d.groupBy("i").agg(r6(F.coalesce(F.avg(F.when(hit, F.col("v"))), F.sum(F.col("v") * F.pow("km", F.lit(-2))) / F.sum(F.pow("km", F.lit(-2)))), "value"))
+    return spatial.idw(p, _controls(spark, sf), "v", k=25, out="value").select("i", r6("value"))
 
 
 @query()

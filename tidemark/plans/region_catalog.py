@@ -11,7 +11,8 @@ from tidemark.functions import exprs as X
 from tidemark.operators import grids, heights, joins, matchups, models, robust
 from tidemark.plans import catalog, store
 from tidemark.plans.catalog import _CONTROL, _EDGES, _GRID, AXIS, FIRST, GEO, HOLE, ITEMS, KM, LAST, PERIOD, RING, STATIONS, _controls, _grid, items, r6, rounded, stations, table
-from tidemark.sources import gauges, readers, regions, requests
+from tidemark.plans.folders import local_folder
+from tidemark.sources import gauges, rasters, readers, regions, requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,8 +98,7 @@ def dated_water_mask(spark, sf):
 
 @query(f"SELECT l_suppkey, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM (SELECT l_suppkey, {GEO} FROM lineitem) GROUP BY 1")
 def search_bounds(spark, sf):
-    areas = items(spark, sf).groupBy("l_suppkey").agg(F.collect_set(F.struct("lon", "lat")).alias("points"))
-    return regions.bounds(areas, "l_suppkey")
+    return regions.bounds_of_points(items(spark, sf), ["l_suppkey"])
 
 
 @query("""WITH j AS (SELECT o_orderkey AS job_id, ['ATL13', 'ATL08', 'ATL03', 'ATL99'][(o_orderkey % 4 + 1)::INT] AS product, o_custkey % 3 = 0 AS slug, o_custkey % 5 = 0 AS region, o_custkey % 2 = 0 AS coord, o_orderdate::DATE AS a, o_orderdate::DATE + (o_custkey % 9 - 2)::INT AS b, o_custkey % 250 AS size, o_custkey % 7 = 0 AS classes, o_custkey % 14 = 0 AS odd, o_custkey % 11 = 0 AS chm FROM orders)
@@ -342,16 +342,24 @@ def provisional_corrector(spark, sf):
 
 
 @query(f"""WITH g AS ({_GRID}), s AS (SELECT station_id, s_lat AS lat, s_lon AS lon, floor((s_lat - 46.6::DOUBLE) / 0.05::DOUBLE + 0.5)::INT AS iy, floor((s_lon - 33.2::DOUBLE) / 0.1::DOUBLE + 0.5)::INT AS ix FROM ({STATIONS}))
-SELECT station_id, round(g.value, 6) AS exported, round(g.value, 6) AS original, CASE WHEN g.value IS NOT NULL THEN 0.0::DOUBLE END AS difference, true AS ok FROM s LEFT JOIN g USING (iy, ix)""")
+SELECT station_id, round(g.value::FLOAT::DOUBLE, 6) AS exported, round(g.value, 6) AS original, round(abs(g.value::FLOAT::DOUBLE - g.value), 7) AS difference, coalesce(abs(g.value::FLOAT::DOUBLE - g.value) <= 1e-6, true) AS ok FROM s LEFT JOIN g USING (iy, ix)""")
 def export_check(spark, sf):
+    """A grid, the GeoTIFF that was written from it, and both at the stations."""
     s = stations(spark, sf).select("station_id", F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"))
-    source = grids.sample_nearest(s, _grid(spark), AXIS, "value")
-    return rounded(store.checked_samples(source, source, ["station_id"], "value", 1e-6), "exported", "original", "difference")
+    grid, path = _grid(spark), local_folder(spark)
+    cells = grid.select((F.lit(AXIS.ny - 1) - F.col("iy")).alias("row"), F.col("ix").alias("col"), "value")
+    rasters.write_geotiff(cells, path, rasters.Frame.of_nodes(AXIS.lat0, AXIS.lon0, AXIS.dlat, AXIS.dlon, AXIS.ny, AXIS.nx), ["value"])
+    exported = rasters.grid_of(rasters.read_geotiff(spark, path, band=1))
+    at = lambda g: grids.sample_nearest(s, g, AXIS, "value")
+    return store.checked_samples(at(exported), at(grid), ["station_id"], "value", 1e-6).withColumns({"exported": F.round("exported", 6), "original": F.round("original", 6), "difference": F.round("difference", 7)})
 
 
-@query("SELECT product, version, height, batch::INT AS batch, needs_coord, stored_points, rasters FROM (VALUES ('ATL13', '007', 'h_wgs84_m', 50, true, true, ['wse']), ('ATL08', '007', 'h_te_median_m', 10, false, true, ['chm', 'dtm']), ('ATL03', '007', 'height_m', 3, false, false, ['dtm'])) t(product, version, height, batch, needs_coord, stored_points, rasters)")
+@query("""WITH p AS (SELECT * FROM (VALUES ('ATL13', '007', 'h_wgs84_m', 50, true, true, ['wse'], 0), ('ATL08', '007', 'h_te_median_m', 10, false, true, ['chm', 'dtm'], 1), ('ATL03', '007', 'height_m', 3, false, false, ['dtm'], 2)) t(product, version, height, batch, needs_coord, stored_points, rasters, k))
+SELECT product, version, height, batch::INT AS batch, needs_coord, stored_points, rasters, count(*) AS jobs, ((count(*) + batch - 1) // batch)::BIGINT AS batches FROM p JOIN orders ON o_orderkey % 3 = k GROUP BY ALL""")
 def products(spark, sf):
-    return requests.products_table(spark)
+    """What the service says of each product, with the jobs that ask for it and the batches they make."""
+    jobs = table(spark, sf, "orders").groupBy(F.element_at(F.array(*map(F.lit, ("ATL13", "ATL08", "ATL03"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("product")).agg(F.count("*").alias("jobs"))
+    return requests.products_table(spark).join(jobs, "product").withColumn("batches", F.expr("(jobs + batch - 1) div batch"))
 
 
 @query(f"SELECT count(*) AS n, round(sum(h), 4) AS total FROM ({ITEMS}) WHERE coalesce(on_water, false)")

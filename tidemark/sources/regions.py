@@ -106,6 +106,11 @@ def bounds(areas: DataFrame, key: str, points: str = "points") -> DataFrame:
     return areas.select(key, at(F.array_min, "lon").alias("west"), at(F.array_min, "lat").alias("south"), at(F.array_max, "lon").alias("east"), at(F.array_max, "lat").alias("north"))
 
 
+def bounds_of_points(points: DataFrame, keys: list[str], *, lat="lat", lon="lon") -> DataFrame:
+    """The same for areas given by their points, a row for each, of any number."""
+    return points.groupBy(*keys).agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))
+
+
 def simplified(line: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """The line without points that lie within `tolerance` of what stays (Douglas and Peucker)."""
     keep, stack = {0, len(line) - 1}, [(0, len(line) - 1)]
