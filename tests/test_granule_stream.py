@@ -69,7 +69,7 @@ def test_states_timers_and_restart(spark, tmp_path):
 
     def go():
         ev = spark.readStream.schema("granule string, at timestamp, status string").option("maxFilesPerTrigger", 1).parquet(str(source))
-        granule_states(ev, wait="30 minutes", late="5 minutes").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        granule_states(ev, wait_minutes=30, late="5 minutes").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
 
     go()
     assert seen() == key(first)

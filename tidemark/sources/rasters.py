@@ -351,7 +351,7 @@ class _Tiles(InputPartition):
 
 
 class GeoTiff(DataSource):
-    """spark.read.format("geotiff").load(path or folder); options band (all if not given) and level (0, or an overview)."""
+    """The source behind read_geotiff(); options band (all if not given) and level (0, or an overview)."""
 
     @classmethod
     def name(cls) -> str:
@@ -427,7 +427,8 @@ def read_geotiff(spark: SparkSession, path: str, *, band: int | None = None, lev
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GeoTiff)
     r = spark.read.format("geotiff").option("level", level)
-    return (r if band is None else r.option("band", band)).load(path)
+    # Spark keeps a source's plan with the frame and renews it only for a query with filters, so there is always one
+    return (r if band is None else r.option("band", band)).load(path).where("row >= 0")
 
 
 def read_stored(spark: SparkSession, path: str, *, band: int = 1, level: int = 0) -> DataFrame:

@@ -157,13 +157,12 @@ class GranuleStates(StatefulProcessor):
         """Nothing to close."""
 
 
-def granule_states(events: DataFrame, *, wait: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def granule_states(events: DataFrame, *, wait_minutes: float = 60, late: str = "10 minutes") -> DataFrame:
     """granule, at, status, before: each change of state, from events (granule, at, status) in any order within `late`.
 
-    A granule that stays pending or fetched for `wait` of event time becomes stuck, and may go on from there. States are
+    A granule that stays pending or fetched for `wait_minutes` of event time becomes stuck, and may go on from there. States are
     in the RocksDB store, so their number is not bounded by memory; a restart goes on from the checkpoint."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    wait_ms = spark.sql(f"select cast(extract(epoch from timestamp'1970-01-01 00:00:00' + interval {wait}) - extract(epoch from timestamp'1970-01-01 00:00:00') as double) as s").first()["s"] * 1000
     out = T.StructType([T.StructField("granule", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("status", T.StringType()), T.StructField("before", T.StringType())])
-    return events.withWatermark("at", late).groupBy("granule").transformWithState(GranuleStates(int(wait_ms)), out, "Append", "EventTime")
+    return events.withWatermark("at", late).groupBy("granule").transformWithState(GranuleStates(int(wait_minutes * 60_000)), out, "Append", "EventTime")
