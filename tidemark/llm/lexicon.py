@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as k
-from tidemark.llm.scratch import deploy
+from tidemark.llm.scratch import Scratch, deploy
 
 #: Words in the lexicon, and bytes of the longest.
 LEXICON_WORDS, LONGEST = 1 << 17, 32
@@ -68,9 +68,6 @@ class Merger:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[self.vocab[a], self.vocab[b]] = i << ID_BITS | self.vocab[a + b]
         self.inner, self.last = ([self.vocab[c + end] for c in byte_symbols()] for end in ("", self.end))
-        self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
-        for text, i in [*self.vocab.items(), *special]:
-            self.tokens[i] = text
 
     def normal(self, text: str) -> str:
         """The text in normal form, words with one space between."""
@@ -287,9 +284,21 @@ def _counts(model: str):
 
 
 def frequent_words(docs: DataFrame, model: str, most: int) -> list[str]:
-    """The `most` most frequent words of all texts, of at most LONGEST bytes; ties by word."""
+    """About the `most` most frequent words of all texts, of at most LONGEST bytes, and never more.
+
+    Counts fall into classes of one part in 64 of a doubling; whole classes are taken from the top while they fit, so the
+    driver sees a row for each class and then the words themselves, however many tasks counted."""
+    scratch = Scratch(docs.sparkSession, "words")
     counts = docs.mapInArrow(_counts(model), "word string, n bigint").where(f"octet_length(word) between 1 and {LONGEST}").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = scratch.save(counts.where("n > 1").withColumn("class", F.floor(F.log2("n") * 64)))
+    taken, low = 0, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():
+        if taken + r["n"] > most:
+            break
+        taken, low = taken + r["n"], r["class"]
+    words = [] if low is None else [r["word"] for r in counts.where(F.col("class") >= low).select("word").collect()]
+    scratch.drop(counts)
+    return words
 
 
 def _merged_words(words: list[bytes], merger: Merger, memo: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -346,9 +355,20 @@ def _encoded(model: str, lexicon: str):
     return run
 
 
+class Tokens(list):
+    """The tokens of a tokenizer file by their ids."""
+
+    def __init__(self, path: str):
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        super().__init__([""] * (1 + max(ids.values())))
+        for text, i in ids.items():
+            self[i] = text
+
+
 def _decoded(model: str):
     def run(batches):
-        tokens = _held(Merger, model).tokens
+        tokens = _held(Tokens, model)
         for batch in batches:
             texts = [" ".join([tokens[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
