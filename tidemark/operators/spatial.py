@@ -107,13 +107,12 @@ def polygon_cover(edges: DataFrame, *, most: int = MOST_EDGES, steps: int = STEP
     west, south, east, north = (0.0, 0.0, 1.0, 1.0) if b[0] is None else b
     size = max(east - west, north - south, 1e-9) * 1.001
     x0, y0 = west - size * 0.0005, south - size * 0.0005
-    step_size = lambda step: size / SPLIT**step
-    # the root's reference lies beyond all polygons
-    now = edges.select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(False).alias("odd"), F.lit(x0 - size).alias("rx"), F.lit(y0 - size).alias("ry"))
+    # the root's reference lies beyond all polygons; the size of a cell is a column, so all steps share their compiled code
+    now = edges.select("*", F.lit(size).alias("s"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(False).alias("odd"), F.lit(x0 - size).alias("rx"), F.lit(y0 - size).alias("ry"))
     found = []
     for step in range(1, steps + 1):
-        s = step_size(step)
-        kids = now.withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy")))
+        s = F.col("s")
+        kids = now.withColumn("s", F.col("s") / SPLIT).withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy")))
         nx, ny = x0 + (F.col("cx") + REF[0]) * s, y0 + (F.col("cy") + REF[1]) * s
         e = {c: F.col(c) for c in ends}
         kids = kids.withColumns({"nx": nx, "ny": ny}).withColumn("turn", _turns(e, F.col("nx"), F.col("ny"), F.col("rx"), F.col("ry")))
@@ -123,12 +122,12 @@ def polygon_cover(edges: DataFrame, *, most: int = MOST_EDGES, steps: int = STEP
         apart = apart | (F.abs(dx * (my - F.col("y1")) - dy * (mx - F.col("x1"))) > half * (F.abs(dx) + F.abs(dy)) * (1 + MARGIN))
         kids = kids.withColumn("here", ~apart)
         cells = kids.groupBy("polygon", "cx", "cy").agg((F.first("odd") != (F.sum(F.col("turn").cast("int")) % 2 == 1)).alias("odd"), F.sum(F.col("here").cast("int")).alias("n"))
-        cells = cut(cells.withColumn("step", F.lit(step)))
-        inside = cells.where("n = 0 and odd").select("polygon", "step", "cx", "cy", "odd", F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"))
+        cells = cut(cells)
+        inside = cells.where("n = 0 and odd").select("polygon", F.lit(step).alias("step"), "cx", "cy", "odd", F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"))
         held = kids.where("here").drop("odd", "rx", "ry", "turn", "here").withColumnsRenamed({"nx": "rx", "ny": "ry"})
         held = held.join(cells.where("n > 0").select("polygon", "cx", "cy", "odd", "n"), ["polygon", "cx", "cy"])
         held = cut(_spread(held, "polygon", *ends))
-        full = F.col("n") > most if step < steps else F.lit(False)
+        full = F.col("n") > (most if step < steps else 1 << 62)
         border = held.where(~full).groupBy("polygon", "cx", "cy").agg(F.first("odd").alias("odd"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
         found += [inside, border.select("polygon", F.lit(step).alias("step"), "cx", "cy", "odd", "edges")]
         now = held.where(full).drop("n")
@@ -196,11 +195,11 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
     keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("o"))).where(F.col("nth") <= k).drop("nth")
     x, y, z = _unit(F.col("lat"), F.col("lon"))
     keyed = keyed.withColumns({"x": x, "y": y, "z": z, "id": F.xxhash64("o", "lat", "lon")})
-    now = cut(keyed.withColumns({"face": F.explode(F.sequence(F.lit(0), F.lit(5))), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}))
+    now = cut(keyed.withColumns({"face": F.explode(F.sequence(F.lit(0), F.lit(5))), "n": F.lit(1.0), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}))
     found, where = [], ["face", "cx", "cy"]
     for step in range(steps + 1):  # first the faces as they are, so that each keeps its own part of the stations
-        n = SPLIT**step
-        kids = now.withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy"))) if step else now
+        n = F.col("n")
+        kids = now.withColumn("n", F.col("n") * SPLIT).withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy"))) if step else now
         at = lambda i, j: _direction(F.col("face"), (F.col("cx") + i) / n, (F.col("cy") + j) / n)  # noqa: E731, B023
         corners = [(i, j) for i in (-MARGIN, 1 + MARGIN) for j in (-MARGIN, 1 + MARGIN)]
         kids = kids.withColumns({f"d{m}": sum((a * F.col(c) for a, c in zip(at(i, j), "xyz", strict=True)), F.lit(0.0)) for m, (i, j) in enumerate([(0.5, 0.5), *corners])})
@@ -217,8 +216,8 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
             return (r["id"] != F.col("id")) & test
 
         kept = cut(_spread(kids.where(F.size(F.filter("rivals", nearer)) < k).drop("rivals"), "id", *where))
-        counts = kept.groupBy(*where).agg(F.count("*").alias("n"))
-        full = F.col("n") > most if step < steps else F.lit(False)
+        counts = kept.groupBy(*where).agg(F.count("*").alias("held"))
+        full = F.col("held") > (most if step < steps else 1 << 62)
         leaf = kept.join(counts.where(~full).select(*where), where).groupBy(*where).agg(F.collect_list(F.struct("lat", "lon", "o", "s")).alias("near"))
         found.append(leaf.select(F.lit(step).alias("step"), *where, "near"))
         now = kept.join(counts.where(full).select(*where), where)

@@ -354,8 +354,9 @@ def export_check(spark, sf):
     return store.checked_samples(at(exported), at(grid), ["station_id"], "value", 1e-6).withColumns({"exported": F.round("exported", 6), "original": F.round("original", 6), "difference": F.round("difference", 7)})
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('ATL13', '007', 'h_wgs84_m', 50, true, true, ['wse'], 0), ('ATL08', '007', 'h_te_median_m', 10, false, true, ['chm', 'dtm'], 1), ('ATL03', '007', 'height_m', 3, false, false, ['dtm'], 2)) t(product, version, height, batch, needs_coord, stored_points, rasters, k))
-SELECT product, version, height, batch::INT AS batch, needs_coord, stored_points, rasters, count(*) AS jobs, ((count(*) + batch - 1) // batch)::BIGINT AS batches FROM p JOIN orders ON o_orderkey % 3 = k GROUP BY ALL""")
+@query("""WITH p AS (SELECT * FROM (VALUES ('ATL13', '007', 'h_wgs84_m', 50, true, true, ['wse'], 0), ('ATL08', '007', 'h_te_median_m', 10, false, true, ['chm', 'dtm'], 1), ('ATL03', '007', 'height_m', 3, false, false, ['dtm'], 2)) t(product, version, height, batch, needs_coord, stored_points, rasters, k)),
+j AS (SELECT o_orderkey % 3 AS k, count(*) AS jobs FROM orders GROUP BY 1)
+SELECT product, version, height, batch::INT AS batch, needs_coord, stored_points, rasters, jobs, ((jobs + batch - 1) // batch)::BIGINT AS batches FROM p JOIN j USING (k)""")
 def products(spark, sf):
     """What the service says of each product, with the jobs that ask for it and the batches they make."""
     jobs = table(spark, sf, "orders").groupBy(F.element_at(F.array(*map(F.lit, ("ATL13", "ATL08", "ATL03"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("product")).agg(F.count("*").alias("jobs"))

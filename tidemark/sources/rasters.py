@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -451,3 +453,7 @@ def grid_of(pixels: DataFrame) -> DataFrame:
     """Pixels as a grid table: iy from the south, ix from the west, lat, lon of the centres, value."""
     rows = pixels.agg((F.max("row") + F.min("row")).alias("_r"))
     return pixels.crossJoin(F.broadcast(rows)).select((F.col("_r") - F.col("row")).cast("int").alias("iy"), F.col("col").alias("ix"), "lat", "lon", "value")  # one row
+
+
+# tasks get this module's code with their functions, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,3 +142,7 @@ def sample_tiles_of(points: DataFrame, store: TileStore, out: str, *, lat="lat",
             yield pa.record_batch([*columns, pa.array(value, mask=np.isnan(value))], names=[*batch.schema.names[:-2], out])
 
     return rows.mapInArrow(run, schema)
+
+
+# tasks get this module's code with their functions, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

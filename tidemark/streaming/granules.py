@@ -4,9 +4,11 @@ granule, with timers for those that got stuck."""
 from __future__ import annotations
 
 import importlib
+import sys
 import time
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,3 +168,7 @@ def granule_states(events: DataFrame, *, wait_minutes: float = 60, late: str = "
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = T.StructType([T.StructField("granule", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("status", T.StringType()), T.StructField("before", T.StringType())])
     return events.withWatermark("at", late).groupBy("granule").transformWithState(GranuleStates(int(wait_minutes * 60_000)), out, "Append", "EventTime")
+
+
+# tasks get this module's code with their functions, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
