@@ -30,7 +30,9 @@ from tidemark.llm.scratch import Scratch, deploy
 #: Words in the lexicon, and bytes of the longest.
 LEXICON_WORDS, LONGEST = 1 << 17, 32
 #: Bytes of text worked on at once; distinct words that a worker counts, and unseen ones that it remembers, before it starts anew.
-BLOCK, HELD = 1 << 21, 100_000
+BLOCK, HELD = 1 << 20, 50_000
+#: Rows that are decoded at once.
+ROWS = 256
 #: Code points beyond these go through the library's normaliser: below them no text changes under NFC, cases map one by
 #: one, and str.split() cuts where the pattern for white space does.
 _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u2030-\\u205e]")
@@ -369,9 +371,11 @@ class Tokens(list):
 def _decoded(model: str):
     def run(batches):
         tokens = _held(Tokens, model)
-        for batch in batches:
-            texts = [" ".join([tokens[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                texts = [" ".join([tokens[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
