@@ -474,11 +474,11 @@ def list_jobs_filter(spark, sf):
     return store.filtered(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), equal={"o_orderstatus": "F", "o_custkey": None}, day="o_orderdate", start="1995-01-01", end="1995-12-31", order=[F.desc("o_orderdate"), "o_orderkey"], limit=50).drop("o_orderstatus")
 
 
-@query("""WITH e AS (SELECT event_type, cume_dist() OVER (PARTITION BY event_type ORDER BY value) AS c, least(floor(value / 20), 9)::INT AS bin FROM events WHERE value BETWEEN 0 AND 200)
+@query("""WITH e AS (SELECT event_type, cume_dist() OVER (PARTITION BY event_type ORDER BY value) AS c, greatest(-1, least(floor(value / 20), 10))::INT AS bin FROM events WHERE value IS NOT NULL)
 SELECT event_type, bin, count(*) AS n, round(max(c), 6) AS ecdf FROM e GROUP BY 1, 2""")
 def ecdf_hist(spark, sf):
-    e = robust.empirical_cdf(table(spark, sf, "events").where("value between 0 and 200"), ["event_type"], "value")
-    return e.groupBy("event_type", F.least(F.floor(F.col("value") / 20), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.max("ecdf"), "ecdf"))
+    e = robust.empirical_cdf(table(spark, sf, "events").where("value is not null"), ["event_type"], "value")
+    return e.groupBy("event_type", F.greatest(F.lit(-1), F.least(F.floor(F.col("value") / 20), F.lit(10))).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.max("ecdf"), "ecdf"))
 
 
 _CONTROL = f"SELECT station_id, s_lat, s_lon, v FROM ({STATIONS}) JOIN (SELECT s_nationkey AS station_id, median(s_acctbal) / 1000 AS v FROM supplier GROUP BY 1) USING (station_id)"

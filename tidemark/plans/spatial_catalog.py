@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import selection, spatial
+from tidemark.operators import search, selection, spatial
 from tidemark.plans.catalog import GEO, ITEMS, KM, items, r6, rounded, stations, table
 from tidemark.plans.folders import local_folder, shared_folder
 from tidemark.plans.partitions import PartitionTable
@@ -127,3 +127,24 @@ def partition_merge(spark, sf):
     t.merge(o.where("o_orderkey % 3 <> 0"))
     t.merge(o.where("o_orderkey % 4 = 0 and year(o_orderdate) = 1995").withColumn("o_orderstatus", F.lit("new")))
     return t.read().select("o_orderkey", "year", "o_orderstatus")
+
+
+_SEEN = """SELECT event_id, (event_id * 37 % 3500) / 10.0::DOUBLE - 180 AS west, (event_id * 11 % 1700) / 10.0::DOUBLE - 90 AS south, (event_id * 37 % 3500) / 10.0::DOUBLE - 180 + (event_id % 7) AS east, (event_id * 11 % 1700) / 10.0::DOUBLE - 90 + (event_id % 5) AS north,
+  ts::TIMESTAMP AS a, ts::TIMESTAMP + to_minutes((event_id % 600)::INT) AS b FROM events"""
+_ASKED = """SELECT n_nationkey, -170 + n_nationkey * 12.5::DOUBLE AS west, -80 + n_nationkey * 5.5::DOUBLE AS south, -170 + n_nationkey * 12.5::DOUBLE + 25 AS east, -80 + n_nationkey * 5.5::DOUBLE + 20 AS north,
+  lo + to_hours((n_nationkey * 5)::INT) AS a, lo + to_hours((n_nationkey * 5 + 200)::INT) AS b FROM nation, (SELECT min(ts)::TIMESTAMP AS lo FROM events)"""
+
+
+@query(f"""SELECT n_nationkey, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM ({_SEEN}) g JOIN ({_ASKED}) q
+ON g.west <= CASE WHEN q.east > 180 THEN 180 ELSE q.east END AND q.west <= g.east AND g.south <= q.north AND q.south <= g.north AND g.a <= q.b AND q.a <= g.b GROUP BY 1""")
+def granule_search(spark, sf):
+    """Events as granules with boxes and intervals, nations as areas with periods."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    west, south = (F.col("event_id") * 37 % 3500) / F.lit(10.0) - 180, (F.col("event_id") * 11 % 1700) / F.lit(10.0) - 90
+    g = e.select("event_id", west.alias("west"), south.alias("south"), (west + F.col("event_id") % 7).alias("east"), (south + F.col("event_id") % 5).alias("north"), F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 600).cast("int"))).alias("end"))
+    k, lo = F.col("n_nationkey"), F.col("lo")
+    west, south = F.lit(-170) + k * F.lit(12.5), F.lit(-80) + k * F.lit(5.5)
+    q = table(spark, sf, "nation").crossJoin(F.broadcast(e.agg(F.min("ts").alias("lo"))))  # one row
+    q = q.select(k, west.alias("west"), south.alias("south"), F.least(F.lit(180.0), west + 25).alias("east"), (south + 20).alias("north"), (lo + F.make_dt_interval(hours=(k * 5).cast("int"))).alias("start"), (lo + F.make_dt_interval(hours=(k * 5 + 200).cast("int"))).alias("end"))
+    found = search.search(g, q)
+    return found.groupBy(F.col("area.n_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.min("granule.event_id").alias("first"), F.max("granule.event_id").alias("last"))
