@@ -2,7 +2,8 @@
 
 Documents are dealt into SHARDS shards by hash of their id. A phrase with `least` occurrences has least / SHARDS of them,
 rounded up, in one shard at least, so each shard is mined completely at that lower support, one after the other, and
-the locally frequent phrases are put together. For that phrases are 64-bit hashes: two phrases that share one can only
+the locally frequent phrases are put together, but for those that cannot reach `least` even with the most occurrences
+that the other shards may have left unseen. For that phrases are 64-bit hashes: two phrases that share one can only
 add to what is mined. A second pass then counts the candidates over all shards by their words, exactly; what the first
 pass let through by chance is counted too and falls below `least`.
 
@@ -176,10 +177,12 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, *, longest: int = LONGEST,
     lower, mined = -(-least // shards), []
     for shard in range(shards):
         found = rows.where(F.col("shard") == shard).select("lang", "text").mapInArrow(_mined(longest), "h bigint, c bigint")
-        mined.append(scratch.save(found.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= lower).select("h")))
+        mined.append(scratch.save(found.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= lower)))
     union = mined[0]
     for m in mined[1:]:
         union = union.unionByName(m)
+    # where a phrase was not found it has lower - 1 occurrences at most, so some cannot come to `least` in all
+    union = union.groupBy("h").agg((F.sum("c") + (shards - F.count("*")) * (lower - 1)).alias("most")).where(F.col("most") >= least)
     bitmap = spark.sparkContext.broadcast(_bitmap(union))
     tallied = rows.select("lang", "text").mapInArrow(_tallied(bitmap, longest), "lang string, size int, phrase string, c bigint")
     out = scratch.save(tallied.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("size") == 0)))
