@@ -220,9 +220,9 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
         full = F.col("held") > (most if step < steps else 1 << 62)
         leaf = kept.join(counts.where(~full).select(*where), where).groupBy(*where).agg(F.collect_list(F.struct("lat", "lon", "o", "s")).alias("near"))
         found.append(leaf.select(F.lit(step).alias("step"), *where, "near"))
-        now = kept.join(counts.where(full).select(*where), where)
-        if now.isEmpty():
+        if counts.where(full).isEmpty():
             break
+        now = kept.join(counts.where(full).select(*where), where)
     return _leaves([cut(reduce(DataFrame.unionByName, found))], F.size("near"), 32 + 16 * len(names))
 
 
