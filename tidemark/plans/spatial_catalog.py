@@ -10,7 +10,7 @@ from tidemark.operators import search, selection, spatial
 from tidemark.plans.catalog import GEO, ITEMS, KM, items, r6, rounded, stations, table
 from tidemark.plans.folders import local_folder, shared_folder
 from tidemark.plans.partitions import PartitionTable
-from tidemark.sources import rasters
+from tidemark.sources import rasters, requests
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,11 @@ def granule_search(spark, sf):
     q = q.select(k, west.alias("west"), south.alias("south"), F.least(F.lit(180.0), west + 25).alias("east"), (south + 20).alias("north"), (lo + F.make_dt_interval(hours=(k * 5).cast("int"))).alias("start"), (lo + F.make_dt_interval(hours=(k * 5 + 200).cast("int"))).alias("end"))
     found = search.search(g, q)
     return found.groupBy(F.col("area.n_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.min("granule.event_id").alias("first"), F.max("granule.event_id").alias("last"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS granule, o_orderdate AS acquired, ((row_number() OVER (ORDER BY o_orderdate, o_orderkey::VARCHAR) - 1) // 50)::INT AS batch FROM orders WHERE o_orderstatus <> 'F'""")
+def all_request_batches(spark, sf):
+    """All granules that are not done, dealt into requests in order of time, numbered without one task that sees them all."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("granule"), F.col("o_orderdate").alias("acquired"), "o_orderstatus")
+    done = o.select("granule", F.when(F.col("o_orderstatus") == "F", "loaded").otherwise("pending").alias("status"))
+    return requests.request_batches(o.drop("o_orderstatus"), done, requests.product("atl13"))

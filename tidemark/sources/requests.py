@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbering import numbered
 from tidemark.sources.regions import Region, request_ring
 
 
@@ -68,10 +69,13 @@ def request_parameters(p: Product, region: Region, granules: list[str], photons:
 def request_batches(names: DataFrame, done: DataFrame, p: Product, *, limit: int | None = None, size: int | None = None) -> DataFrame:
     """granule, acquired, batch: the oldest `limit` granules that are not done, dealt into requests in order.
 
-    One sort by time without partition; a list of granules is small beside the points in them."""
-    rows = names.join(done.where(F.col("status").isin("loaded", "empty")).select("granule"), "granule", "left_anti").orderBy("acquired", "granule")
-    rows = rows if limit is None else rows.limit(limit)
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("acquired", "granule")) - 1) / (size or p.batch)).cast("int"))
+    With a limit its rows are numbered in one task; without, all granules are, by ranges of time."""
+    rows = names.join(done.where(F.col("status").isin("loaded", "empty")).select("granule"), "granule", "left_anti")
+    if limit is None:
+        rows = numbered(rows, ["acquired", "granule"], "_n")
+    else:
+        rows = rows.orderBy("acquired", "granule").limit(limit).withColumn("_n", F.row_number().over(Window.orderBy("acquired", "granule")))
+    return rows.withColumn("batch", F.floor((F.col("_n") - 1) / (size or p.batch)).cast("int")).drop("_n")
 
 
 def job_errors(request: dict) -> list[str]:
