@@ -120,7 +120,7 @@ def test_nearest_equals_brute_force(spark, k, broadcast, monkeypatch):
 
 def test_many_stations(spark):
     rnd = np.random.default_rng(5)
-    n = 30_000
+    n = 10_000
     lat, lon = np.degrees(np.arcsin(rnd.uniform(-1, 1, n))), rnd.uniform(-180, 180, n)
     known = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon, strict=True))], "id long, s_lat double, s_lon double")
     pts = [(float(np.degrees(np.arcsin(z))), float(o)) for z, o in zip(rnd.uniform(-1, 1, 400), rnd.uniform(-180, 180, 400), strict=True)]
