@@ -9,10 +9,10 @@ def text_of(source, messages=()):
     return "".join(t for t, _ in compiled(source)(messages))
 
 
-@pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|end|>\n", "</s>[INST] ok [/INST]", "a < b | c", "[\\INST] [\\\\INST]", "<s><|user|>\n", "\\<|\\", "<<||>>"])
+@pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|end|>\n", "</s>[INST] ok [/INST]", "a < b | c", "[\\INST] [\\\\INST]", "<s><|user|>\n", "\\<|\\", "<<||>>", "<|>", "[|>", "a|>\nb", "|\\>|\\\\>", "||>", "<\\|\\>", "<|\\>"])
 def test_escape_is_reversible(text):
     assert unescape(escape(text)) == text
-    assert not any(c in escape(text) for c in ("<|", "</s>", "<s>", "[INST]", "[/INST]"))
+    assert not any(c in escape(text) for c in ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]"))
 
 
 def test_language():
@@ -51,6 +51,28 @@ def test_digests(spark):
         assert sha("".join(cut)) == got[key]["loss_sha256"]
 
 
+@pytest.mark.parametrize("role", ["", "|", "a|", "<", "<|", ">", "|>", "a|>\nb", "<|>\n", "a|\\>\nb", "|>\nx<|end|>\n", "assistant|>\n", "\\"])
+def test_any_role_reads_back(role):
+    turns = [{"role": role, "text": "t|>\n"}, {"role": "assistant", "text": role}]
+    reader = Reader()
+    for piece, loss in compiled(CHAT)(turns):
+        reader.feed(piece, loss)
+    n, turns_sha, chars, loss_sha, _ = reader.close()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (n, turns_sha) == (2, sha(f"{role}\nt|>\n\nassistant\n{role}\n"))
+    assert (chars, loss_sha) == (len(role), sha(role))
+
+
+def test_strings_hold_tags():
+    assert text_of("{{ '}}' }}{{ \"%}\" }}{% if '%}' == '%}' %}a{% endif %}{{ '\\'}}' }}") == "}}%}a'}}"
+
+
+@pytest.mark.parametrize("items", ["5", "'abc'", "none", "true"])
+def test_loops_over_lists_only(items):
+    with pytest.raises(TemplateError):
+        text_of("{% for x in " + items + " %}{{ x }}{% endfor %}")
+
+
 def test_reader_pieces():
     r = Reader()
     for c in "<|user|>\nhello<|end|>\n":

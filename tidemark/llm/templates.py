@@ -28,23 +28,25 @@ CHAT = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
     "{% else %}{{ m.text | escape }}{% endif %}<|end|>\n{% endfor %}"
 )
-#: Control strings without their first characters, < or [.
-_TAILS = r"(\||/s>|s>|INST\]|/INST\])"
-_ESCAPE, _UNESCAPE = re.compile(r"([<\[])(\\*)" + _TAILS), re.compile(r"([<\[])\\(\\*)" + _TAILS)
+#: Control strings without their first characters, < or [; |> ends a role. Strings may share a character, as in <|>.
+_TAILS = r"(?=\||/s>|s>|INST\]|/INST\])"
+_ESCAPE = re.compile(rf"([<\[])(\\*){_TAILS}|(\|)(\\*)(?=>)")
+_UNESCAPE = re.compile(rf"([<\[])\\(\\*){_TAILS}|(\|)\\(\\*)(?=>)")
 
 
 def escape(text: str) -> str:
     """Puts a backslash into each control string, and one more into each that has some already."""
-    return _ESCAPE.sub(r"\1\2\\\3", text)
+    return _ESCAPE.sub(r"\1\2\3\4\\", text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1\2\3", text)
+    return _UNESCAPE.sub(r"\1\2\3\4", text)
 
 
 FILTERS: dict[str, Callable] = {"escape": lambda x: escape(str(x)), "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
 _WORD = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[-+|.()\[\],=]))")
-_PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_PART = re.compile(rf"(\{{\{{(?:{_STRING}|.)*?\}}\}}|\{{%(?:{_STRING}|.)*?%\}}|\{{#.*?#\}})", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -295,7 +297,10 @@ def _closure(node, loss: bool) -> Callable[[dict], Iterator[tuple[str, bool]]]:
         items, body = expression(node[2]), _closure(node[3], loss)
 
         def loop(env):
-            for x in items(env):
+            of = items(env)
+            if isinstance(of, str) or not isinstance(of, Iterable):
+                raise TemplateError(f"cannot go over {of!r}")
+            for x in of:
                 yield from body({**env, node[1]: x})
 
         return loop
@@ -460,8 +465,8 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), wide AS (
-  SELECT *, length(regexp_replace(role, '([<\[])(\\*)(\||/s>|s>|INST\]|/INST\])', '\1\2\\\3', 'g')) AS role_chars,
-            length(regexp_replace(text, '([<\[])(\\*)(\||/s>|s>|INST\]|/INST\])', '\1\2\\\3', 'g')) AS text_chars
+  SELECT *, length(role) + len(regexp_extract_all(role, '[<\[]\\*(\||/s>|s>|INST\]|/INST\])')) + len(regexp_extract_all(role, '\|\\*>')) AS role_chars,
+            length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/s>|s>|INST\]|/INST\])')) + len(regexp_extract_all(text, '\|\\*>')) AS text_chars
   FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
