@@ -77,6 +77,14 @@ def test_small_archives_and_ranges(spark, monkeypatch):
     assert len(out) == 300 and order == sorted(order) and len({r["part"] for r in out}) > 10
 
 
+def test_dates_by_parameter(spark):
+    """A column called date is read only if it is named; text that is no time counts as null."""
+    df = spark.createDataFrame([(1, "http://a.b/", "x", "n/a"), (2, "http://a.b/", "y", "2020-05-06 07:08:09"), (3, "http://a.b/", "z", None)], "page_id long, url string, html string, date string")
+    assert [r["date"][:4] for r in archive(df).collect()] == ["2023"] * 3
+    got = {r["page_id"]: r["date"] for r in archive(df, date="date").collect()}
+    assert got == {1: "1970-01-01T00:00:00Z", 2: "2020-05-06T07:08:09Z", 3: "1970-01-01T00:00:00Z"}
+
+
 def test_empty(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert warc.LEAST_BYTES == 100

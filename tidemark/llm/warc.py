@@ -91,16 +91,18 @@ def _pack(run_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, run_bytes: int = RUN_BYTES) -> None:
-    """Writes archives of about `run_bytes` of records; `pages` has page_id, url and html, and optionally date.
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, date: str | None = None, run_bytes: int = RUN_BYTES) -> None:
+    """Writes archives of about `run_bytes` of records; `pages` has page_id, url and html.
 
-    Null html is an empty payload, null url an empty one, a null date the epoch. A null page_id is written without number
+    `date` names the column with the times of capture, a timestamp, date or text (one that is no time counts as null);
+    without it times follow from page_id, and other columns, one called date too, are not read. Null html is an empty
+    payload, null url an empty one, a null date the epoch. A null page_id is written without number
     and never referred to."""
     text = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), text.alias("html"), *(["date"] if "date" in pages.columns else []))
+    key = F.col("page_id").cast("bigint")
+    when = F.col(date).try_cast("timestamp") if date else F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce(key, F.lit(0)), F.lit(100_000_000)))
+    rows = pages.select(key.alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), text.alias("html"), when.alias("date"))
     rows = rows.withColumns({"bytes": F.octet_length("html"), "digest": F.sha2("html", 256)})
-    if "date" not in rows.columns:
-        rows = rows.withColumn("date", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))))
     narrow = scratch.save(rows.select("page_id", "digest", "bytes"))
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     marks = revisits(narrow, scratch)
@@ -233,14 +235,15 @@ def read_index(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     return lines.repartitionByRange(ranges, "urlkey", "date", "page_id", "file", "offset").mapInArrow(_merge, INDEX)
 
 
-def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, *, date: str | None = None) -> DataFrame:
     """Writes `pages` to archives (under the shared folder if no path is given) and returns their merged index.
 
     Of pages with equal payloads of at least LEAST_BYTES bytes the one of smallest id is a response, the others are
-    revisits. Repeated rows each get a record. An empty table gives an empty index; other columns are not read."""
+    revisits. `date` names the column of capture times. Repeated rows each get a record. An empty table gives an empty
+    index; other columns are not read."""
     scratch = Scratch(pages.sparkSession, "warc")
     path = path or f"{scratch.root}/archives"
-    write_archives(pages, path, scratch)
+    write_archives(pages, path, scratch, date=date)
     return read_index(pages.sparkSession, path, scratch)
 
 
