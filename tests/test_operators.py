@@ -193,3 +193,13 @@ def test_radius_join_paths_agree_at_meridian_and_pole(spark, monkeypatch):
     few = rows()
     monkeypatch.setattr(joins, "SMALL_ROWS", 0)
     assert rows() == few and {(1, 1), (2, 1), (5, 1), (3, 2), (4, 3), (3, 4)} <= set(few[0]) and (6, 5) in few[1]
+
+
+def test_mean_at_the_threshold(spark, tmp_path):
+    """A mean tax of 0.04 exactly is not above it, though sums of doubles round to more."""
+    from tidemark.plans.catalog import QUERIES
+
+    groups = [[5, 5, 5, 1], [6, 3, 5, 4, 5, 1], [7, 4, 4, 3, 1, 1, 4, 8], [0, 6, 7, 0, 3, 7, 7, 4, 2], [5, 5, 5, 2]]
+    rows = [(i, "A", t / 100, 1.0) for i, g in enumerate(groups) for t in g]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_tax double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["flag"]: r["n"] for r in QUERIES["qc_flag_explode"](spark, str(tmp_path)).collect()} == {"few": 5, "tax": 1}
