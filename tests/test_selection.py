@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def test_empty(spark):
     df = spark.createDataFrame([("a", None)], "k string, v double")
     assert selection.quantiles(df, ["k"], "v", {"m": 0.5}, hot_rows=0).count() == 0
     assert selection.robust_stats_any(df, ["k"], "v").count() == 0
+
+
+def test_quantiles_with_total(spark):
+    rows = [(y, float((i * 7919 + y) % 10007)) for y in (1995, 1996, 1997) for i in range(9000 if y == 1995 else 300)] + [(None, 5.0), (None, 7.0), (1998, None), (1998, float("nan"))]
+    df = spark.createDataFrame(rows, "y int, v double").repartition(5)
+    got = {(r["y"], r["is_total"]): r for r in selection.quantiles_with_total(df, [], "y", "v", {"m": 0.5, "p05": 0.05, "p95": 0.95}, hot_rows=1000).collect()}
+    assert len(got) == 6
+    for k in [("1995", False), ("1996", False), ("1997", False), (None, False), ("ALL", True)]:
+        x = [v for y, v in rows if v is not None and v == v and (k[1] or (y is None) == (k[0] is None) and str(y) in (k[0], "None"))]
+        r = got[k]
+        assert [r["m"], r["p05"], r["p95"]] == pytest.approx([np.percentile(x, q) for q in (50, 5, 95)], abs=1e-9), k
+    assert got["ALL", True]["n"] == len(rows) and got["1998", False]["n"] == 2 and got["1998", False]["m"] is None

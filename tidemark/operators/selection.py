@@ -95,6 +95,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
     return out.select(*(F.col("_g")[k].alias(k) for k in keys), *qs)
 
 
+def quantiles_with_total(df: DataFrame, outer: list[str], key: str, value: str, qs: dict[str, float], *, label: str = "ALL", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """n (all rows) and quantiles() by outer + key, and by outer alone as the row `label` with is_total; groups without finite values have nulls."""
+    both = df.select(*outer, F.explode(F.array(F.struct(F.col(key).cast("string").alias("k"), F.lit(False).alias("t")), F.struct(F.lit(label).alias("k"), F.lit(True).alias("t")))).alias("_k"), F.col(value).alias("_v"))
+    both = both.select(*outer, F.col("_k.k").alias(key), F.col("_k.t").alias("is_total"), "_v")
+    keys = [*outer, key, "is_total"]
+    n = both.groupBy(*keys).agg(F.count("*").alias("n"))
+    found = quantiles(both, keys, "_v", qs, hot_rows=hot_rows).withColumnsRenamed({k: f"_{k}" for k in keys})
+    out = n.join(found, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    return out.select(*keys, "n", *qs)
+
+
 def robust_stats_any(df: DataFrame, keys: list[str], value: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """robust_stats() for groups of any size: the MAD is a second selection, over distances from the first one's median."""
     df = df.withColumn("_v", finite(value)).where("_v is not null")

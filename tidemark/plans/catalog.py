@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import grids, joins, matchups, models, robust, spatial
+from tidemark.operators import grids, joins, matchups, models, robust, selection, spatial
 from tidemark.plans import store
 from tidemark.sources import readers
 from tidemark.streaming.ingest import sessions, window_counts
@@ -411,7 +411,8 @@ def coverage_summary(spark, sf):
 @query("""SELECT CASE WHEN grouping(y) = 1 THEN 'ALL' ELSE y::VARCHAR END AS year, grouping(y) = 1 AS is_total, count(*) AS n, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.05), 4) AS p05, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY GROUPING SETS ((y), ())""")
 def estuary_year_all(spark, sf):
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    return robust.with_all(o, [], "year", {"n": F.count("*"), "median": F.round(F.median("o_totalprice"), 4), "p05": F.round(F.percentile("o_totalprice", 0.05), 4), "p95": F.round(F.percentile("o_totalprice", 0.95), 4)})
+    out = selection.quantiles_with_total(o, [], "year", "o_totalprice", {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    return out.withColumns({c: F.round(c, 4) for c in ("median", "p05", "p95")})
 
 
 @query("""WITH g AS (SELECT o_orderkey, 'gross' AS reason, 1 AS p FROM orders WHERE o_totalprice > 480000), s AS (SELECT o_orderdate::DATE AS d FROM orders GROUP BY 1 HAVING count(*) > 1 AND max(o_totalprice) - min(o_totalprice) > 450000),
