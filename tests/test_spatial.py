@@ -130,6 +130,33 @@ def test_many_stations(spark):
     assert {r["n"]: r["id"] for r in got} == dict(enumerate(best.tolist()))
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_cells_dealt_over_tasks(spark, k, monkeypatch):
+    """Cells of more stations than one task refines are split in steps, each task pruning a share; the rest takes no step."""
+    rnd = random.Random(9)
+    known = [(i, 47 + rnd.randrange(4000) / 1e4, 34 + rnd.randrange(4000) / 1e4) for i in range(3000)]
+    frame = spark.createDataFrame(known, "name long, s_lat double, s_lon double").repartition(4)
+    cuts, plain = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: cuts.append(1) or plain(df))
+    spatial.station_cover(frame, k=k, order=["name"])
+    assert len(cuts) <= 4
+    monkeypatch.setattr(spatial, "LOCAL", 700)
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", -1)
+    cover = spatial.station_cover(frame, k=k, order=["name"])
+    assert 8 < len(cuts) <= 24 and cover.cells.agg(F.max(F.size("near"))).first()[0] <= 12 + 2 * k
+    pts = [(47 + rnd.uniform(-0.1, 0.5), 34 + rnd.uniform(-0.1, 0.5)) for _ in range(150)] + [(-47.0, -146.0), (90.0, 0.0), (0.0, 180.0), (10.0, -60.0)]
+    got = {r["n"]: r["near"] for r in spatial.nearest(spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "n long, lat double, lon double"), cover, k=k).collect()}
+    for i, (a, o) in enumerate(pts):
+        assert [r["distance_km"] for r in got[i]] == pytest.approx([d for d, _ in brute(a, o, known, k)], abs=2e-5), (i, a, o)
+
+
+def test_idw_ties_by_order(spark):
+    """Of controls equally far the first by `order` counts, not that of the least value."""
+    known = spark.createDataFrame([(2, 0.0, 1.0, 1.0), (1, 0.0, -1.0, 9.0)], "c long, s_lat double, s_lon double, v double")
+    got = spatial.idw(spark.createDataFrame([(0.0, 0.0)], "lat double, lon double"), known, "v", k=1, order=["c"]).first()
+    assert got["value"] == pytest.approx(9.0)
+
+
 def test_no_stations(spark):
     none = spark.createDataFrame([], "name string, s_lat double, s_lon double")
     out = spatial.nearest_any(spark.createDataFrame([(1.0, 2.0)], "lat double, lon double"), none).collect()

@@ -7,9 +7,13 @@ rows are edges or stations, never whole polygons, so one polygon of millions of
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,10 @@ from tidemark.plans.cut import cut
 SPLIT, STEPS = 4, 10
 #: Edges of a polygon in one leaf, and stations in one leaf; leaves of the last step may hold more.
 MOST_EDGES, MOST_STATIONS = 12, 12
+#: Stations of a cell that one task refines, and stations that are all rivals of each other.
+LOCAL, ALL_RIVALS = 20_000, 64
+#: Step of the cells that tell at which steps there are leaves in them.
+MAP = 3
 #: Leaves go to all executors up to so many bytes, counted; beyond that the points are shuffled to them.
 BROADCAST_BYTES = 64 << 20
 #: A cell's box reaches so much of its size beyond its sides, more than coordinates are rounded.
@@ -173,11 +181,48 @@ def _face(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return face, (u + 1) / 2, (v + 1) / 2
 
 
-def _direction(face: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
-    """A direction (of any length) through a place of a face; the inverse of _face()."""
-    p, q = u * 2 - 1, v * 2 - 1
-    sign = F.when(face % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.when(face < 2, sign).otherwise(p), F.when(face < 2, p).when(face < 4, sign).otherwise(q), F.when(face < 4, q).otherwise(sign)
+def _split(face: int, n: int, cx: int, cy: int, at: np.ndarray, k: int) -> list[tuple[int, int, np.ndarray]]:
+    """The children of a cell (n along a side of its face) and, for each, which of the stations at `at` (x, y, z by rows) may be among
+    the k nearest of a point in it: those that fewer than k rivals beat at all four corners. All stations are rivals of a few;
+    of many, those nearest to a child's middle and corners. Any rivals are right, as each is a station."""
+    kid = np.arange(SPLIT * SPLIT)
+    kx, ky = cx * SPLIT + kid // SPLIT, cy * SPLIT + kid % SPLIT
+    places = np.array([(0.5, 0.5), *((i, j) for i in (-MARGIN, 1 + MARGIN) for j in (-MARGIN, 1 + MARGIN))])
+    p, q = ((c[:, None] + places[None, :, i]) / (n * SPLIT) * 2 - 1 for i, c in enumerate((kx, ky)))
+    sign = np.full(p.shape, 1.0 if face % 2 == 0 else -1.0)
+    d = sum(c[:, :, None] * x for c, x in zip(((sign, p, q), (p, sign, q), (p, q, sign))[face // 2], at, strict=True))  # child, place, station
+    middle, corners, m = d[:, 0], d[:, 1:], at.shape[1]
+    if m <= ALL_RIVALS:
+        rivals = np.tile(np.arange(m), (len(kid), 1))
+    else:
+        rivals = np.sort(np.concatenate([np.argpartition(-middle, min(k + 3, m - 1), axis=1)[:, : k + 4], corners.argmax(2)], 1), 1)
+    beaten = np.zeros(middle.shape, np.int32)
+    for r in range(rivals.shape[1]):
+        one = rivals[:, r]
+        wins = (np.take_along_axis(corners, one[:, None, None], 2) - corners > 1e-14).all(1)
+        beaten += wins & (one != rivals[:, r - 1])[:, None] if r else wins  # a rival counts once
+    return [(int(kx[c]), int(ky[c]), np.flatnonzero(beaten[c] < k)) for c in kid]
+
+
+def _refine(k: int, most: int, steps: int):
+    """A function of the stations of one cell: of a cell that is dealt into several `parts` its children, else all leaves below it."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        face, step, cx, cy, parts = (cell[c][0].as_py() for c in ("face", "step", "cx", "cy", "parts"))
+        ids, xyz = cell["id"].to_numpy(), np.stack([cell[c].to_numpy() for c in "xyz"])
+        todo, out = [(step, cx, cy, np.arange(len(ids)), parts > 1)], []
+        while todo:
+            step, cx, cy, at, whole = todo.pop()
+            if step == steps or not (whole or len(at) > most):
+                out.append((step, cx, cy, at, True))
+                continue
+            kids = _split(face, SPLIT**step, cx, cy, xyz[:, at], k)
+            (out if whole else todo).extend((step + 1, x, y, at[kept], False) for x, y, kept in kids)
+        sizes, at = [len(r[3]) for r in out], np.concatenate([r[3] for r in out])
+        column = lambda i, kind: np.repeat(np.array([r[i] for r in out], kind), sizes)
+        return pa.table({"face": np.full(len(at), face, np.int32), "step": column(0, np.int32), "cx": column(1, np.int64), "cy": column(2, np.int64), "leaf": pa.array(column(4, bool)), "id": ids[at], **{c: xyz[i, at] for i, c in enumerate("xyz")}})
+
+    return run
 
 
 def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lon: str = "s_lon", order: list | None = None, most: int | None = None, steps: int = STEPS) -> Leaves:
@@ -186,44 +231,40 @@ def station_cover(stations: DataFrame, *, k: int = 1, s_lat: str = "s_lat", s_lo
     The points of a cell are positive combinations of its corners, and the sign of x * (t - s) tells whether x is nearer
     to t than to s. So where t is nearer at all four corners it is nearer in the whole cell, and a station that k
     others beat in this way goes. No cell sees a pole or the meridian of 180 degrees as anything special. Of stations at
-    one place the first k by `order` (default: all columns) count; stations without a place take no part."""
+    one place the first k by `order` (default: all columns) count; stations without a place take no part.
+
+    A cell of at most LOCAL stations is refined to its leaves by one task; the stations of a larger one are dealt at random over
+    tasks, each of which prunes its share for each child by rivals of that share."""
     most, names = most or MOST_STATIONS + 2 * k, stations.columns
     from pyspark.sql import Window
 
     placed = stations.where(finite(s_lat).isNotNull() & finite(s_lon).isNotNull())
     keyed = placed.select(F.struct(*(order or names)).alias("o"), F.struct(*names).alias("s"), finite(s_lat).alias("lat"), finite(s_lon).alias("lon"))
     keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("o"))).where(F.col("nth") <= k).drop("nth")
+    keyed = cut(keyed.withColumn("id", F.monotonically_increasing_id()))
     x, y, z = _unit(F.col("lat"), F.col("lon"))
-    keyed = keyed.withColumns({"x": x, "y": y, "z": z, "id": F.xxhash64("o", "lat", "lon")})
-    now = cut(keyed.withColumns({"face": F.explode(F.sequence(F.lit(0), F.lit(5))), "n": F.lit(1.0), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}))
-    found, where = [], ["face", "cx", "cy"]
-    for step in range(steps + 1):  # first the faces as they are, so that each keeps its own part of the stations
-        n = F.col("n")
-        kids = now.withColumn("n", F.col("n") * SPLIT).withColumn("cx", _children(F.col("cx"))).withColumn("cy", _children(F.col("cy"))) if step else now
-        at = lambda i, j: _direction(F.col("face"), (F.col("cx") + i) / n, (F.col("cy") + j) / n)  # noqa: E731, B023
-        corners = [(i, j) for i in (-MARGIN, 1 + MARGIN) for j in (-MARGIN, 1 + MARGIN)]
-        kids = kids.withColumns({f"d{m}": sum((a * F.col(c) for a, c in zip(at(i, j), "xyz", strict=True)), F.lit(0.0)) for m, (i, j) in enumerate([(0.5, 0.5), *corners])})
-        best = lambda m, ok: F.max(F.when(ok, F.struct(F.col(f"d{m}").alias("d"), "id", "x", "y", "z")))
-        salts = k + 2 if k > 1 else 1
-        picks = [best(0, F.pmod(F.xxhash64("id"), F.lit(salts)) == m) for m in range(salts)] + [best(m, F.lit(True)) for m in range(1, 5)]
-        rivals = kids.groupBy(*where).agg(F.array_distinct(F.transform(F.array_compact(F.array(*picks)), lambda r: F.struct(r["id"].alias("id"), r["x"].alias("x"), r["y"].alias("y"), r["z"].alias("z")))).alias("rivals"))
-        kids = kids.select(*now.columns).join(rivals, where)
-
-        def nearer(r):
-            test = F.lit(True)
-            for i, j in corners:
-                test = test & (sum((a * (r[c] - F.col(c)) for a, c in zip(at(i, j), "xyz", strict=True)), F.lit(0.0)) > 1e-14)  # noqa: B023
-            return (r["id"] != F.col("id")) & test
-
-        kept = cut(_spread(kids.where(F.size(F.filter("rivals", nearer)) < k).drop("rivals"), "id", *where))
-        counts = kept.groupBy(*where).agg(F.count("*").alias("held"))
-        full = F.col("held") > (most if step < steps else 1 << 62)
-        leaf = kept.join(counts.where(~full).select(*where), where).groupBy(*where).agg(F.collect_list(F.struct("lat", "lon", "o", "s")).alias("near"))
-        found.append(leaf.select(F.lit(step).alias("step"), *where, "near"))
-        if counts.where(full).isEmpty():
+    where = ["face", "step", "cx", "cy"]
+    now = keyed.select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("face"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(False).alias("leaf"), "id", x.alias("x"), y.alias("y"), z.alias("z"))
+    found = []
+    while True:
+        large = cut(now.groupBy(*where).agg(F.count("*").alias("held")).where((F.col("held") > LOCAL) & (F.col("step") < steps)).select(*where, F.ceil(F.col("held") / LOCAL).cast("int").alias("parts")))
+        some = not large.isEmpty()
+        dealt = now.join(F.broadcast(large), where, "left") if some else now.withColumn("parts", F.lit(None).cast("int"))  # a row for each LOCAL stations at most
+        dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        done = cut(_spread(dealt, *where, "part").groupBy(*where, "part").applyInArrow(_refine(k, most, steps), now.schema))
+        found.append(done.where("leaf"))
+        if not some:
             break
-        now = kept.join(counts.where(full).select(*where), where)
-    return _leaves([cut(reduce(DataFrame.unionByName, found))], F.size("near"), 32 + 16 * len(names))
+        now = done.where("not leaf")
+    leaves = reduce(DataFrame.unionByName, found).select(*where, "id").join(keyed, "id")
+    cells = leaves.groupBy(*where).agg(F.collect_list(F.struct("lat", "lon", "o", "s")).alias("near"))
+    return _leaves([cut(cells)], F.size("near"), 32 + 16 * len(names))
+
+
+def _at_map(c: str) -> Column:
+    """The places along one side, at step MAP, of the cell of step MAP that a leaf lies in, or of those that lie in it."""
+    width = F.pow(F.lit(SPLIT), F.lit(MAP) - F.col("step"))
+    return F.sequence(F.floor(F.col(c) * width), F.floor(F.col(c) * width + F.greatest(width, F.lit(1.0)) - 1)).alias(c)
 
 
 def nearest(points: DataFrame, cover: Leaves, *, k: int = 1, lat="lat", lon="lon", out: str = "near") -> DataFrame:
@@ -240,7 +281,14 @@ def nearest(points: DataFrame, cover: Leaves, *, k: int = 1, lat="lat", lon="lon
         return points.withColumn(out, F.lit(None).cast(f"array<struct<distance_km:double,{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in empty.fields)}>>"))
     placed = a.isNotNull() & o.isNotNull()
     cells = cover.cells.select(F.struct("step", "face", "cx", "cy").alias("_k"), F.col("near").alias("_n"))
-    both = here.where(placed).withColumn("_k", F.explode(F.array(*(key(s) for s in cover.steps)))).join(F.broadcast(cells) if cover.small() else cells, "_k")
+    at = here.where(placed)
+    if cover.small():
+        both = at.withColumn("_k", F.explode(F.array(*(key(s) for s in cover.steps)))).join(F.broadcast(cells), "_k")
+    else:  # points are shuffled, so a point goes only to the steps that there are in its part of the face
+        parts = cover.cells.select("step", "face", *(_at_map(c) for c in ("cx", "cy")))
+        parts = parts.withColumn("cx", F.explode("cx")).withColumn("cy", F.explode("cy")).groupBy(F.struct("face", "cx", "cy").alias("_m")).agg(F.collect_set("step").alias("_s"))
+        at = at.withColumn("_m", key(MAP).dropFields("step")).join(F.broadcast(parts), "_m")  # 6 * SPLIT ** (2 * MAP) rows at most
+        both = at.withColumn("_s", F.explode("_s")).withColumn("_k", F.element_at(F.array(*(key(s) for s in range(STEPS + 1))), F.col("_s") + 1)).drop("_m", "_s").join(cells, "_k")
     far = F.transform("_n", lambda s: F.struct(haversine_km(lat, lon, s["lat"], s["lon"]).alias("km"), s["o"].alias("o"), s["s"].alias("s")))
     first = F.slice(F.array_sort(far), 1, k) if k > 1 else F.array(F.array_min(far))
     got = both.withColumn(out, F.transform(first, lambda s: F.struct(s["km"].alias("distance_km"), *(s["s"][f.name].alias(f.name) for f in empty.fields)))).drop("_f", "_k", "_n")
@@ -253,16 +301,21 @@ def nearest_any(points: DataFrame, stations: DataFrame, *, lat="lat", lon="lon",
     return got.select(*points.columns, F.col("_near")[0]["distance_km"].alias("distance_km"), *(F.col("_near")[0][c].alias(c) for c in stations.columns))
 
 
-def idw(points: DataFrame, controls: DataFrame, value: str, *, k: int = 8, power: float = 2.0, lat="lat", lon="lon", s_lat: str = "s_lat", s_lon: str = "s_lon", out: str = "value") -> DataFrame:
+def idw(points: DataFrame, controls: DataFrame, value: str, *, k: int = 8, power: float = 2.0, lat="lat", lon="lon", s_lat: str = "s_lat", s_lon: str = "s_lon", out: str = "value", order: list | None = None) -> DataFrame:
     """Adds `out`, the mean of the k nearest controls by inverse distance, and <out>_reach_km, how far the farthest of them is.
 
-    Controls at the point itself (within 1e-9 km) give their mean. Controls without a finite value take no part; points
+    Of controls equally far the first by `order` (columns; default: value and place) count. Controls at the point itself (within 1e-9 km) give their mean. Controls without a finite value take no part; points
     without a place, and all points where there are no controls, get null."""
-    good = controls.select(finite(value).alias("v"), F.col(s_lat), F.col(s_lon)).where("v is not null")
-    near = nearest(points, station_cover(good, k=k, s_lat=s_lat, s_lon=s_lon), k=k, lat=lat, lon=lon, out="_near")
+    ranks = [col(c).alias(f"o{i}") for i, c in enumerate(order or [])]
+    good = controls.select(finite(value).alias("v"), F.col(s_lat), F.col(s_lon), *ranks).where("v is not null")
+    near = nearest(points, station_cover(good, k=k, s_lat=s_lat, s_lon=s_lon, order=[f"o{i}" for i in range(len(ranks))]), k=k, lat=lat, lon=lon, out="_near")
     fold = lambda of, f: F.aggregate(of, F.lit(0.0), lambda a, s: a + f(s))
     weight = lambda s: F.pow(s["distance_km"], F.lit(-power))
     here = F.filter("_near", lambda s: s["distance_km"] <= 1e-9)
     away = fold(F.col("_near"), lambda s: weight(s) * s["v"]) / fold(F.col("_near"), weight)
     found = F.when(F.size(here) > 0, fold(here, lambda s: s["v"]) / F.size(here)).when(F.size("_near") > 0, away)
     return near.withColumns({out: found, f"{out}_reach_km": F.array_max(F.transform("_near", lambda s: s["distance_km"]))}).drop("_near")
+
+
+# tasks get this module's code with their functions, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
