@@ -79,7 +79,7 @@ SELECT o_orderkey, round(coalesce(avg(m.c % 100) FILTER (m.km <= 1e-9), sum((m.c
 def idw_nearest(spark, sf):
     """Inverse distance weights over the four nearest of any number of controls."""
     c, o = _places(spark, sf)
-    found = spatial.idw(o, c.withColumn("v", F.col("c_custkey") % 100), "v", k=4)
+    found = spatial.idw(o, c.withColumn("v", F.col("c_custkey") % 100), "v", k=4, order=["c_custkey"])
     return found.select("o_orderkey", r6("value"), r6("value_reach_km", "reach_km"))
 
 
