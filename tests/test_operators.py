@@ -203,3 +203,14 @@ def test_mean_at_the_threshold(spark, tmp_path):
     rows = [(i, "A", t / 100, 1.0) for i, g in enumerate(groups) for t in g]
     spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_tax double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r["flag"]: r["n"] for r in QUERIES["qc_flag_explode"](spark, str(tmp_path)).collect()} == {"few": 5, "tax": 1}
+
+
+def test_means_of_odd_taxes(spark, tmp_path):
+    """A mean just above 0.04 counts, and as in SQL NaN and infinity are above it; a group without a tax is not."""
+    from tidemark.plans.catalog import QUERIES
+
+    nan, inf = float("nan"), float("inf")
+    groups = [[0.04, 0.040000000001], [0.04, 0.039999999999], [0.01, nan], [0.01, inf], [0.01, -inf], [1e30, 0.01], [None, None], [None, 0.05], [inf, -inf]]
+    rows = [(i, "A", t, 1.0) for i, g in enumerate(groups) for t in g]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_tax double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["flag"]: r["n"] for r in QUERIES["qc_flag_explode"](spark, str(tmp_path)).collect()} == {"few": 9, "tax": 6}

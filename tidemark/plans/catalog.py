@@ -127,8 +127,9 @@ WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, avg(l_tax) AS t, stdde
 f AS (SELECT concat_ws('|', CASE WHEN n < 190 THEN 'few' END, CASE WHEN t > 0.04 THEN 'tax' END, CASE WHEN s > 23000 THEN 'spread' END) AS flags FROM g)
 SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, '|')) AS flag FROM f WHERE flags <> '') GROUP BY 1""")
 def qc_flag_explode(spark, sf):
-    tax = F.col("l_tax").cast("decimal(20,8)")  # added exactly: a mean of 0.04 is not above 0.04, in whatever order its rows come
-    above = F.sum(tax) > F.lit(Decimal("0.04")) * F.count("l_tax")
+    tax = F.col("l_tax").try_cast("decimal(38,18)")  # added exactly: a mean of 0.04 is not above 0.04, in whatever order its rows come
+    exact = F.when(F.count(tax) == F.count("l_tax"), F.try_sum(tax))  # null where a tax is no such number, as NaN
+    above = F.coalesce(exact > F.lit(Decimal("0.04")) * F.count("l_tax"), F.avg("l_tax") > 0.04)
     g = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), above.alias("t"), F.stddev_samp("l_extendedprice").alias("s"))
     flags = F.concat_ws("|", F.when(F.col("n") < 190, "few"), F.when(F.col("t"), "tax"), F.when(F.col("s") > 23000, "spread"))
     return robust.flag_counts(g.select(flags.alias("qc_flags")))
