@@ -104,6 +104,20 @@ def test_long_lines_of_few_words(spark):
     assert [r["doc_id"] for r in gone] == [2]
 
 
+def test_simhash_of_long_lines(spark):
+    """All words of a line count, however many they are."""
+    rnd = random.Random(23)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (MOST_WORDS, MOST_WORDS + 1, 3 * MOST_WORDS + 7)]
+    got = {r["doc"]: r for r in line_table(frame(spark, list(enumerate(texts))).withColumn("key", F.col("doc_id"))).collect()}
+    code = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.element_at(codes_of(F.array("w")), 1).alias("c")).select("w", F.xxhash64("c").alias("h"), F.col("c").bitwiseAND(F.lit(31)).alias("n"))
+    code = {r["w"]: (r["h"] % 2**64, 2**LONG if r["n"] >= LETTERS else 1) for r in code.collect()}
+    for i, text in enumerate(texts):
+        h = [code[w] for w in text.split()]
+        want = sum(1 << b for b in range(64) if 2 * sum(w * (x >> b & 1) for x, w in h) > sum(w for _, w in h))
+        assert got[i]["words"] == len(h) and got[i]["sim"] % 2**64 == want
+
+
 def test_letters(spark):
     r = spark.range(1).select(as_letters(F.array(*(F.lit(w << 5).cast("bigint") for w in (0, 32767, 0)))).alias("x"), as_letters(F.array().cast("array<bigint>")).alias("y")).first()
     assert len(r["x"]) == 3 and r["x"][0] == r["x"][2] != r["x"][1] and r["y"] == ""
