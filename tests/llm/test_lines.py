@@ -235,6 +235,43 @@ def test_lines_with_a_common_part_do_not_all_meet(spark, monkeypatch):
     assert len(met) == 2 and met[1] < 0.02 * 320 * 319 / 2, met
 
 
+def test_lines_far_apart_share_no_block(spark):
+    """Unrelated SimHashes that agree in a third of their bits, as ever more do in larger tables, make no rows of keys; those within two bits share a key."""
+    rnd = random.Random(29)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    low = rnd.getrandbits(21)
+    sims = [rnd.getrandbits(43) << 21 | low for _ in range(300)]
+    near = [sims[i] ^ (1 << a | 1 << b) for i, (a, b) in enumerate([(0, 1), (0, 63), (15, 16), (31, 48), (5, 40), (17, 62), (33, 34)])]
+    unique = spark.createDataFrame([(i, signed(x), 20, 0) for i, x in enumerate([*sims, *near])], "node long, sim long, words int, sig long")
+    unique = unique.select("*", F.lit(None).cast("array<bigint>").alias("twos"), *(F.lit(None).cast("bigint").alias(r) for r in lines.RUNS))
+    scratch = Scratch(spark, "test")
+    cells = lines.shared_keys(scratch, unique)
+    assert {tuple(r) for r in lines.first_pairs(scratch, cells, SIMILARITY).collect()} >= {(300 + i, i) for i in range(7)}
+    assert cells.count() < 100, "rows of keys, of 307 nodes"
+
+
+def test_rare_words_lose_no_pair(spark, monkeypatch):
+    """In the second round keys that meet whole and keys that meet by rare words give all pairs that hold, of different components."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 11)))
+    head = [word() for _ in range(20)]
+    texts = [head + [word() for _ in range(20)] for _ in range(100)]
+    for i in range(60):
+        new = list(texts[i % 40])
+        for j in rnd.sample(range(40), 3 + i % 8):
+            new[j] = word()
+        texts.append(new)
+    docs = frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]).withColumn("key", F.col("doc_id"))
+    scratch = Scratch(spark, "test")
+    cells = lines.shared_keys(scratch, scratch.save(line_table(docs).withColumn("node", F.col("doc"))))
+    norms = scratch.save(docs.select(F.col("doc_id").alias("node"), as_letters(codes_of(words_of(F.col("text")))).alias("norm")))
+    comps = spark.createDataFrame([(i, 0) for i in (*range(20), *range(100, 120))], "node long, component long")
+    held = lambda *more: {tuple(r) for r in lines.verified(scratch.save(lines.rest(scratch, cells, comps, SIMILARITY, *more)), norms, SIMILARITY).collect()}
+    want, whole = held(), held(norms)
+    monkeypatch.setattr(lines, "TILE", 50)
+    assert len(want) > 20 and whole == want and held(norms) == want
+
+
 def test_brute_force(spark):
     """Against all pairs of lines of a corpus of a small vocabulary, with copies in many versions: what goes is right, and what should go does to 0.9 at least."""
     rnd = random.Random(3)
